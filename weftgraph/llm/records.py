@@ -122,12 +122,13 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         enc = encoder(tokenizer)
         end = enc._bytes([end_id])
         for b in batches:
-            yield {"frame": [frame(pack(d, ids + end, enc.narrow)) for d, ids in zip(b["doc_id"], enc.encode(b["text"]), strict=True)]}
+            yield {"frame": [frame(pack(d, ids + end, enc.narrow))[:-1] for d, ids in zip(b["doc_id"], enc.encode(b["text"]), strict=True)]}
 
     base = docs.select("doc_id", text_or_empty().alias("text"))
     n = shards or partitions_for(base, SHARD_BYTES)
     ordered = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     frames = arrow_map(ordered, run, "frame binary")
+    # the text writer ends each row with the last byte of the frame
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
