@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, quality, records, secrets
+from . import chat, html_extract, media, mixing, near_dedup, quality, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op1_quality_classifier,
         secrets.op3_secret_scan,
         records.op5_token_records,
+        html_extract.op6_html_extract,
+        near_dedup.op7_near_dedup,
         mixing.op8_mix_sources,
         chat.op9_chat_format,
         media.op10_telephony_media,
