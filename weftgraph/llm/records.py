@@ -12,6 +12,7 @@ file system it knows; the index is a Parquet table with one row per record.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -27,9 +28,13 @@ from .common import arrow_map, fresh_path, materialize, partitions_for, table, t
 END_ID = 2
 #: Bytes of input storage for one output file.
 SHARD_BYTES = 16_000_000
-#: Distinct words whose ids a worker keeps; the memo starts anew beyond it.
-MEMO_WORDS = 400_000
+#: Distinct words whose ids a worker keeps, about.
+MEMO_WORDS = 800_000
 MEMO_CHARS = 40
+#: Marks at a word's end that a tokenizer which folds case may take apart from it; this is tested, not assumed.
+ENDS = ".,;:!?"
+#: Stands between words that are encoded together; a token of its own.
+MARK = "\x00"
 
 
 def mask(crc: int) -> int:
@@ -68,32 +73,64 @@ class WordEncoder:
     """Ids of whole texts, for tokenizers that never join characters across a blank.
 
     Such a tokenizer's ids of a text are those of its blank-separated words in
-    order; each distinct word goes to the library once and its ids are kept as
-    bytes.
+    order. Words go to the library many at a time; the ids of short ones are
+    kept as bytes. When the memo is full, words that came up again stay.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.narrow = self.tok.get_vocab_size(with_added_tokens=True) <= 65_536
         self.memo: dict[str, bytes] = {"": b""}
+        self.again: set[str] = {""}
+        probe = ["Quartz", "quartz", ".,;:!?"]
+        one = [self.tok.encode(p, add_special_tokens=False).ids for p in [*probe, "Quartz.,;:!?"]]
+        self.folds = one[0] == one[1] and one[3] == one[0] + one[2]
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u2" if self.narrow else "<u4").tobytes()
 
+    def encode_words(self, words: list[str], run: int = 500) -> list[bytes]:
+        """Ids of each word, from encodings of ``run`` words at once with a mark between them."""
+        plain = [w for w in words if MARK not in w]
+        texts = [f" {MARK} ".join(plain[k : k + run]) for k in range(0, len(plain), run)]
+        found: dict[str, bytes] = {}
+        width = 2 if self.narrow else 4
+        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2" if self.narrow else "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            part = plain[k * run : (k + 1) * run]
+            if len(cut) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep the mark apart")
+            data = ids.tobytes()
+            found.update(zip(part, (data[x:y] for x, y in zip([0, *((cut + 1) * width).tolist()], [*(cut * width).tolist(), len(data)], strict=True)), strict=True))
+        for w in words:
+            if w not in found:
+                found[w] = self._bytes(self.tok.encode(w, add_special_tokens=False).ids)
+        return [found[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set().union(*split)
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
+            self.memo = {w: self.memo[w] for w in self.again}
+            self.again = {""}
         memo = self.memo
-        fresh = list(set().union(*split).difference(memo))
-        extra = {}
-        for w, e in zip(fresh, self.tok.encode_batch(fresh, add_special_tokens=False), strict=True):
-            (memo if len(w) <= MEMO_CHARS else extra)[w] = self._bytes(e.ids)
-        if extra:
-            memo = {**memo, **extra}
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        fresh = words.difference(memo)
+        self.again |= words - fresh
+        cores = {w: c.lower() for w in fresh if (c := w.rstrip(ENDS)).isascii() and c.isalpha()} if self.folds else {}
+        tails = {w[len(c) :] for w, c in cores.items()}
+        ask = list((fresh.difference(cores) | tails | set(cores.values())).difference(memo))
+        memo.update(zip(ask, self.encode_words(ask), strict=True))
+        memo.update({w: memo[c] + memo[w[len(c) :]] for w, c in cores.items()})
+        out = [b"".join(map(memo.__getitem__, w)) for w in split]
+        for w in fresh:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
