@@ -1,6 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens are tags and words with the tag path they stand in. Tokens with the same
+Tokens are tags, and words of short texts (long ones are data), with the tag
+path they stand in. Tokens with the same
 occurrence vector over the pages of a host (how often in which page) form an
 equivalence class; large classes that most pages hold are the template's. The
 class of tokens that stand once in every page is the root, whose gaps are
@@ -16,6 +17,7 @@ token and task.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
 import zlib
@@ -30,6 +32,9 @@ from .common import arrow_map, materialize, small_side, table
 #: A class is the template's if it has so many tokens, in so many pages and so large a share of them.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.6
 
+#: Words of a text up to which they count as tokens.
+LABEL_WORDS = 12
+
 #: Fixed values of HTML: elements without content, with raw text, and those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "select", "button")
@@ -130,8 +135,8 @@ def page_tokens(page: str, memo: dict[str, int]) -> np.ndarray:
         p = paths.get(path)
         if p is None:
             p = paths[path] = path_key(path)
-        words = x.split() if kind == "text" else [f"<{'/' * (kind == 'close')}{x}>"]
-        if words:
+        words = x.split(None, LABEL_WORDS) if kind == "text" else [f"<{'/' * (kind == 'close')}{x}>"]
+        if 0 < len(words) <= LABEL_WORDS:
             ids = []
             for w in words:
                 h = memo.get(w)
@@ -195,8 +200,9 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     up to the token's place, so a nested class stands in the slot that holds it.
     """
     per_host = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    tokens = occurrence_vectors(pages).join(per_host, "host")
+    tokens = occurrence_vectors(pages).join(materialize(per_host, "template-hosts"), "host")
     frequent = tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("host_pages")))
+    frequent = materialize(frequent, "template-tokens")
     classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.max("most").alias("most"), F.min("least").alias("least"))
     valid = classes.where(F.col("size") >= MIN_TOKENS)
     kept = frequent.drop("least", "most").join(valid, ["host", "vector", "pages"])
@@ -211,10 +217,12 @@ def _marks(token: str) -> str:
     return token.partition(".")[2].replace(".", " ")
 
 
+@functools.lru_cache(10_000)
 def _is_apart(token: str) -> bool:
     return token.partition(".")[0] in APART or bool(APART_WORDS.search(_marks(token)))
 
 
+@functools.lru_cache(10_000)
 def _main_rank(token: str) -> int:
     """0 is best; 9: no place for an article."""
     name = token.partition(".")[0]
@@ -236,15 +244,16 @@ def main_text(page: str, template: set[int] | None) -> str:
     steps = list(walk(page))
     ranks: dict[tuple[str, ...], tuple[int, int]] = {}
     for k, (kind, x, path) in enumerate(steps):
-        if kind == "open" and not any(map(_is_apart, path)):
-            rank = _main_rank(x)
-            if rank < 9 and (*path, x) not in ranks:
+        if kind == "open" and (rank := _main_rank(x)) < 9 and not any(map(_is_apart, path)):
+            if (*path, x) not in ranks:
                 ranks[(*path, x)] = (rank + 4 * (template is not None and tag_token(x, path) not in template), k)
     region = min(ranks, key=ranks.__getitem__, default=())
     depth = len(region)
     apart: dict[tuple[str, ...], bool] = {}
     blocks: list[str] = []
     current: list[str] = []
+    last: tuple[str, ...] | None = None
+    inside = False
 
     def flush() -> None:
         text = re.sub(r"\s+", " ", html_lib.unescape("".join(current))).strip()
@@ -253,7 +262,8 @@ def main_text(page: str, template: set[int] | None) -> str:
         current.clear()
 
     for kind, x, path in steps:
-        inside = path[:depth] == region
+        inside = path[:depth] == region if path is not last else inside
+        last = path
         if kind == "text":
             if inside:
                 skip = apart.get(path)

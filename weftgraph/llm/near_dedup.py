@@ -275,9 +275,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
             largest = sizes.groupBy("key").agg(F.max(F.struct("s", "label")).alias("big")).select("key", F.col("big.label").alias("big"))
             rest = open_keys.join(largest, "key").where("label <> big and not done")
             per_key = 8 * 4**turn
-            ranked = rest.select("key", "node", "label", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)).alias("h"))
+            ranked = rest.select("key", "node", "label", (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h"))
             share = rest.groupBy("key").agg(F.count("*").alias("r"))
-            chosen = materialize(ranked.join(share, "key").where(F.col("h") * F.col("r") < F.lit(per_key) * F.lit(1 << 30)).select("key", "node", "label"), "near-pivots")
+            chosen = materialize(ranked.join(share, "key").where(F.col("h") * F.col("r") < F.lit(float(per_key))).select("key", "node", "label"), "near-pivots")
             if rest.isEmpty():
                 return links
             pairs = chosen.alias("x").join(open_keys.alias("y"), left & (F.col("x.label") != F.col("y.label"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))

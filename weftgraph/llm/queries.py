@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, media, mixing, near_dedup, quality, records, secrets
+from . import chat, decontam, html_extract, media, mixing, near_dedup, quality, records, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quality.op1_quality_classifier,
+        decontam.op2_decontaminate,
         secrets.op3_secret_scan,
+        suffix_dedup.op4_suffix_dedup,
         records.op5_token_records,
         html_extract.op6_html_extract,
         near_dedup.op7_near_dedup,

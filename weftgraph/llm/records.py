@@ -29,10 +29,8 @@ END_ID = 2
 #: Bytes of input storage for one output file.
 SHARD_BYTES = 16_000_000
 #: Distinct words whose ids a worker keeps, about.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 MEMO_CHARS = 40
-#: Marks at a word's end that a tokenizer which folds case may take apart from it; this is tested, not assumed.
-ENDS = ".,;:!?"
 #: Stands between words that are encoded together; a token of its own.
 MARK = "\x00"
 
@@ -74,7 +72,7 @@ class WordEncoder:
 
     Such a tokenizer's ids of a text are those of its blank-separated words in
     order. Words go to the library many at a time; the ids of short ones are
-    kept as bytes. When the memo is full, words that came up again stay.
+    kept as bytes. When the memo is full, the words of the last batch stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -84,10 +82,8 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.narrow = self.tok.get_vocab_size(with_added_tokens=True) <= 65_536
         self.memo: dict[str, bytes] = {"": b""}
-        self.again: set[str] = {""}
-        probe = ["Quartz", "quartz", ".,;:!?"]
-        one = [self.tok.encode(p, add_special_tokens=False).ids for p in [*probe, "Quartz.,;:!?"]]
-        self.folds = one[0] == one[1] and one[3] == one[0] + one[2]
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.folds = all(ids(a) == ids(b) for a, b in (("Quartz", "quartz"), ("\u00c9T\u00c9", "\u00e9t\u00e9"), ("it's, x9. ", "it's , x9 . ")))
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -112,27 +108,43 @@ class WordEncoder:
                 found[w] = self._bytes(self.tok.encode(w, add_special_tokens=False).ids)
         return [found[w] for w in words]
 
+    def words(self, text: str) -> list[str]:
+        """Pieces of ``text`` whose ids, in order, are those of the text.
+
+        Where the tokenizer folds case, a text of Latin-1 characters is lowered
+        first (no rule there depends on a neighbour), and full stops and commas
+        at a word's end stand apart unless another mark touches them.
+        """
+        if self.folds:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                text = text.lower()
+                if not _TOUCHING(text):
+                    text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = list(map(self.words, texts))
         words = set().union(*split)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {w: self.memo[w] for w in self.again}
-            self.again = {""}
         memo = self.memo
-        fresh = words.difference(memo)
-        self.again |= words - fresh
-        cores = {w: c.lower() for w in fresh if (c := w.rstrip(ENDS)).isascii() and c.isalpha()} if self.folds else {}
-        tails = {w[len(c) :] for w, c in cores.items()}
-        ask = list((fresh.difference(cores) | tails | set(cores.values())).difference(memo))
+        ask = list(words.difference(memo))
         memo.update(zip(ask, self.encode_words(ask), strict=True))
-        memo.update({w: memo[c] + memo[w[len(c) :]] for w, c in cores.items()})
         out = [b"".join(map(memo.__getitem__, w)) for w in split]
-        for w in fresh:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
+        if len(memo) > MEMO_WORDS:
+            self.memo = {w: memo[w] for w in words}
+        elif ask:
+            for w in ask:
+                if len(w) > MEMO_CHARS:
+                    del memo[w]
         return out
 
 
+#: A mark right before a full stop or comma.
+_TOUCHING = re.compile(r"(?:[^\w\s]|_)[.,]").search
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
