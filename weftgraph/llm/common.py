@@ -99,7 +99,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
 
 
 #: Rows of a batch are handed to Python code in runs of about this many bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

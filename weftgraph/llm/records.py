@@ -12,11 +12,12 @@ file system it knows; the index is a Parquet table with one row per record.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,7 @@ END_ID = 2
 #: Bytes of input storage for one output file.
 SHARD_BYTES = 16_000_000
 #: Distinct words whose ids a worker keeps, about.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 MEMO_CHARS = 40
 #: Stands between words that are encoded together; a token of its own.
 MARK = "\x00"
@@ -84,29 +85,46 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {"": b""}
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         self.folds = all(ids(a) == ids(b) for a, b in (("Quartz", "quartz"), ("\u00c9T\u00c9", "\u00e9t\u00e9"), ("it's, x9. ", "it's , x9 . ")))
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        self.closes: np.ndarray | None = None
+        if suffix:
+            self.closes = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+            self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u2" if self.narrow else "<u4").tobytes()
 
-    def encode_words(self, words: list[str], run: int = 500) -> list[bytes]:
-        """Ids of each word, from encodings of ``run`` words at once with a mark between them."""
-        plain = [w for w in words if MARK not in w]
-        texts = [f" {MARK} ".join(plain[k : k + run]) for k in range(0, len(plain), run)]
+    def _runs(self, words: list[str], between: str, cut_at: Callable[[np.ndarray], tuple[list[int], list[int]]], run: int = 500) -> dict[str, bytes]:
+        """Ids of ``words``, encoded ``run`` at once with ``between`` between them; words of runs that do not come apart are missing."""
         found: dict[str, bytes] = {}
         width = 2 if self.narrow else 4
-        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+        parts = [words[k : k + run] for k in range(0, len(words), run)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u2" if self.narrow else "<u4")
+            begin, end = cut_at(ids)
+            if len(begin) == len(part):
+                data = ids.tobytes()
+                found.update(zip(part, [data[x * width : y * width] for x, y in zip(begin, end, strict=True)], strict=True))
+        return found
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Words of letters end with their one token that closes a word; others have a mark between them."""
+
+        def at_ends(ids: np.ndarray) -> tuple[list[int], list[int]]:
+            end = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            return [0, *end[:-1]], end
+
+        def at_marks(ids: np.ndarray) -> tuple[list[int], list[int]]:
             cut = np.flatnonzero(ids == self.mark)
-            part = plain[k * run : (k + 1) * run]
-            if len(cut) != len(part) - 1:
-                raise ValueError("the tokenizer does not keep the mark apart")
-            data = ids.tobytes()
-            found.update(zip(part, (data[x:y] for x, y in zip([0, *((cut + 1) * width).tolist()], [*(cut * width).tolist(), len(data)], strict=True)), strict=True))
+            return [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
+
+        found = self._runs([w for w in words if w.isalpha()], " ", at_ends) if self.closes is not None else {}
+        found |= self._runs([w for w in words if w not in found and MARK not in w], f" {MARK} ", at_marks)
         for w in words:
             if w not in found:
                 found[w] = self._bytes(self.tok.encode(w, add_special_tokens=False).ids)
-        return [found[w] for w in words]
+        return found
 
     def words(self, text: str) -> list[str]:
         """Pieces of ``text`` whose ids, in order, are those of the text.
@@ -131,7 +149,7 @@ class WordEncoder:
         words = set().union(*split)
         memo = self.memo
         ask = list(words.difference(memo))
-        memo.update(zip(ask, self.encode_words(ask), strict=True))
+        memo.update(self.encode_words(ask))
         out = [b"".join(map(memo.__getitem__, w)) for w in split]
         if len(memo) > MEMO_WORDS:
             self.memo = {w: memo[w] for w in words}
