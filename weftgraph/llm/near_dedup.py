@@ -10,10 +10,11 @@ some key. Candidates within the distance are confirmed on the full sets.
 A key's group is never paired with itself as a whole. A first round links each
 member to the key's best connected member (most company over all its keys: the
 hub of a family of copies). Keys whose members then share one component need
-nothing more. Small keys that remain compare members of different components;
-large ones take turns of pivots, each compared with all members of other
-components, until at most one component has members that were not a pivot. So
-no link between components is lost, and no group is expanded into all pairs.
+nothing more. Of those that stay open, small ones compare their members of
+different components; members of large ones are narrowed to pairs whose rarest
+shared shingles allow a link at all (an exact prefix filter), again between
+different components only. So no link between components is lost, and no group
+is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, release, small_side, table, text_or_empty
@@ -34,7 +35,7 @@ SYMBOLS, BITS, CHUNKS = 64, 16, 12
 #: Most symbols that a pair may differ in: one error a chunk is always found.
 DISTANCE = 2 * CHUNKS - 1
 #: Keys of at most so many members compare all their components at once.
-SMALL_KEY = 48
+SMALL_KEY = 8
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240917)
@@ -219,11 +220,40 @@ def components(links: DataFrame) -> DataFrame:
         edges = nxt
 
 
-def _labels(links: DataFrame | None, members: DataFrame) -> DataFrame:
-    """``members`` (key, node) with their component's label, the node itself where it has no link."""
-    if links is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """``node, s, size``: the shingles of each text."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for node, grams in zip(b["node"], shingle_sets(b["text"]), strict=True):
+                yield {"node": np.full(len(grams), node), "s": grams.view(np.int64), "size": np.full(len(grams), len(grams))}
+
+    return arrow_map(texts.select("node", "text"), run, "node long, s long, size long")
+
+
+def prefix_pairs(labelled: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of ``labelled`` (node, label) that can link and have different labels.
+
+    Sets that overlap enough share a shingle near the front of both, with
+    shingles from rare to frequent: by their places there, at most
+    ``min(size - place)`` can be common. Members of a shingle's most frequent
+    label are met by those of other labels only.
+    """
+    rows = materialize(_shingle_rows(texts.join(labelled.select("node"), "node", "left_semi")), "near-shingles")
+    known = rows.groupBy("s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "s")
+    placed = rows.join(known, "s").withColumn("place", F.row_number().over(order) - 1)
+    front = placed.where(F.col("df") > 1).where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size"))
+    front = materialize(front.join(labelled, "node").select("s", "node", "label", "size", "place"), "near-front")
+    most = front.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"))
+    most = most.where("labels > 1").select("s", F.col("m.label").alias("most"))
+    x = front.join(most, "s").where("label <> most").drop("most").alias("x")
+    y = front.alias("y")
+    total = F.col("x.size") + F.col("y.size")
+    able = (100 + percent) * F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= percent * total
+    near = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & able & near)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
@@ -241,51 +271,27 @@ def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
         return None
     sigs = materialize(nodes.select("node", "sig").join(small_side(company.select("node"), n_nodes), "node", "left_semi"), "near-sigs")
     mine = small_side(company.select(F.col("node").alias("doc_id")), n_nodes)
-    texts = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(mine, "doc_id", "left_semi")
-    texts = materialize(texts.select(F.col("doc_id").alias("node"), "text"), "near-texts")
-
-    hubs = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("best")).select("key", (-F.col("best.col2")).alias("hub"))
-    tested = shared.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(mine, "doc_id", "left_semi")
+    # rows that repeat a doc_id would repeat its pairs: one text a node
+    texts = materialize(texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "near-texts")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        close = materialize(within_distance(pairs.distinct(), sigs), f"{name}-close")
-        return materialize(confirm(close, texts, percent), name)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        close = materialize(within_distance(pairs.distinct(), sigs), "near-close")
+        return materialize(confirm(close, texts, percent), "near-links")
 
-    links = confirmed(tested, "near-links")
-    members = shared.select("key", "node", "n")
-    turn, pivots = 0, None
-    while True:
-        labelled = _labels(links, members)
-        if pivots is not None:
-            labelled = labelled.join(pivots.withColumn("done", F.lit(True)), ["key", "node"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            labelled = labelled.withColumn("done", F.lit(False))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_keys = materialize(labelled.join(mixed, "key", "left_semi"), "near-open")
-        if open_keys.isEmpty():
-            return links
-        left = F.col("x.key") == F.col("y.key")
-        if turn == 0:
-            small = open_keys.where(F.col("n") <= SMALL_KEY)
-            pairs = small.alias("x").join(small.alias("y"), left & (F.col("x.label") < F.col("y.label"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            members = open_keys.where(F.col("n") > SMALL_KEY).select("key", "node", "n")
-            pivots = None
-        else:
-            sizes = open_keys.groupBy("key", "label").agg(F.count("*").alias("s"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("s", "label")).alias("big")).select("key", F.col("big.label").alias("big"))
-            rest = open_keys.join(largest, "key").where("label <> big and not done")
-            per_key = 8 * 4**turn
-            ranked = rest.select("key", "node", "label", (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h"))
-            share = rest.groupBy("key").agg(F.count("*").alias("r"))
-            chosen = materialize(ranked.join(share, "key").where(F.col("h") * F.col("r") < F.lit(float(per_key))).select("key", "node", "label"), "near-pivots")
-            if rest.isEmpty():
-                return links
-            pairs = chosen.alias("x").join(open_keys.alias("y"), left & (F.col("x.label") != F.col("y.label"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            own = chosen.select("key", "node")
-            pivots = own if pivots is None else pivots.unionByName(own)
-            members = open_keys.select("key", "node", "n")
-        links = links.unionByName(confirmed(pairs, "near-links"))
-        turn += 1
+    hubs = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("best")).select("key", (-F.col("best.col2")).alias("hub"))
+    links = confirmed(shared.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+
+    labels = materialize(components(links), "near-labels")
+    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_keys = materialize(labelled.join(mixed, "key", "left_semi"), "near-open")
+    small = open_keys.where(F.col("n") <= SMALL_KEY)
+    few = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
+    few = few.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    large = materialize(open_keys.where(F.col("n") > SMALL_KEY).select("node", "label").distinct(), "near-large")
+    pairs = few if large.isEmpty() else few.unionByName(prefix_pairs(large, texts, percent))
+    return links.unionByName(confirmed(pairs))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
