@@ -83,7 +83,7 @@ def degree_table(spark, sf):
 def source_sink_orphan(spark, sf):
     g = graphs.supply(spark, sf)
     d = metrics.degrees(g.nodes, g.edges)
-    return d.agg(F.count_if("degree = 0").alias("orphans"), F.count_if("in_degree = 0 and out_degree > 0").alias("sources"), F.count_if("out_degree = 0 and in_degree > 0").alias("sinks"))
+    return d.agg(*[F.count_if(F.expr(rule)).alias(name) for rule, name in (("degree = 0", "orphans"), ("in_degree = 0 and out_degree > 0", "sources"), ("out_degree = 0 and in_degree > 0", "sinks"))])
 
 
 @query(f"{TRADE} SELECT count(*) AS n, (SELECT count(*) FROM edges) AS m, round((SELECT count(*) FROM edges) / (count(*) * (count(*) - 1.0)), 4) AS density FROM nodes")
@@ -302,7 +302,7 @@ s2 AS (SELECT * FROM second s WHERE NOT EXISTS (SELECT 1 FROM rev WHERE rev.src
 a AS (SELECT coalesce(c.src, s.src) AS src, coalesce(c.dst, s.dst) AS dst, c.relation AS cr, s.relation AS sr, coalesce(c.confidence, 1) AS cc, coalesce(s.confidence, 0.7) AS sc, c.src IS NOT NULL AS c, s.src IS NOT NULL AS s FROM edges c FULL JOIN s2 s ON c.src = s.src AND c.dst = s.dst),
 b AS (SELECT *, c AND s AND cr <> sr AS rel, c AND s AND round(abs(cc - sc), 10) > 0.3 AS conf FROM a),
 m AS (SELECT src, dst, coalesce(cr, sr) AS relation, round(CASE WHEN NOT s THEN cc WHEN NOT c THEN sc * 0.9 WHEN conf THEN greatest(cc, sc) WHEN rel THEN cc ELSE least(greatest(cc, sc) + 0.1, 1.0) END, 6) AS confidence, CASE WHEN NOT s THEN 'code' WHEN NOT c THEN 'llm' ELSE 'code+llm' END AS source_type, rel OR conf AS had_conflicts FROM b),
-k AS (SELECT src, dst, 'relation_mismatch' AS conflict, cr AS first_value, sr AS second_value FROM b WHERE rel UNION ALL SELECT src, dst, 'confidence_mismatch', round(cc, 2)::VARCHAR, round(sc, 2)::VARCHAR FROM b WHERE conf UNION ALL SELECT src, dst, 'direction_conflict', src || '->' || dst, dst || '->' || src FROM rev)"""
+k AS (SELECT src, dst, 'relation_mismatch' AS conflict, cr AS first_value, sr AS second_value FROM b WHERE rel UNION ALL SELECT src, dst, 'confidence_mismatch', round(cc, 2)::DOUBLE::VARCHAR, round(sc, 2)::DOUBLE::VARCHAR FROM b WHERE conf UNION ALL SELECT src, dst, 'direction_conflict', src || '->' || dst, dst || '->' || src FROM rev)"""
 
 
 @query(f"{MERGE} SELECT * FROM m")
