@@ -21,13 +21,13 @@ WEBAPP_CANDIDATES = ("webapp", "web", "WebContent", "public", "src/main/webapp",
 
 
 def read_files(spark: SparkSession, root: str, pattern: str = "*", skip: tuple[str, ...] = config.EngineConfig.skip_patterns) -> DataFrame:
-    """``path, rel, mtime, length, content`` of the files under ``root`` on any file system Spark reads; skipped folders by part of the path."""
+    """``path, rel, mtime, length, content`` of the files under ``root`` on any file system Spark reads; skipped folders by part of the path. Spark does not list empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     for part in skip:
         files = files.where(~F.contains("path", F.lit(part)))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     rel = F.regexp_replace(F.col("path"), r"^.*?\Q" + base + r"\E/", "")
-    return files.select("path", rel.alias("rel"), F.col("modificationTime").alias("mtime"), "length", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select("path", rel.alias("rel"), F.col("modificationTime").alias("mtime"), "length", F.decode("content", "UTF-8").alias("content"))
 
 
 def kind(path: Column) -> Column:

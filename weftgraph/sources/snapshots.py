@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..model import Graph
+from ..storage import materialize
 
 
 def read_json_records(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Records of the ``*.json`` files in ``folder`` (names that start with ``_`` apart) with ``source_file``, and the files that do not parse."""
     full = f"{schema}, _corrupt string"
     raw = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "[!_]*.json").json(folder)
-    raw = raw.withColumn("source_file", F.col("_metadata.file_name"))
+    raw = materialize(raw.withColumn("source_file", F.col("_metadata.file_name")), "records")  # Spark refuses to filter unread records on their errors
     return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("source_file")
 
 

@@ -26,5 +26,5 @@ def watch_sources(spark: SparkSession, folder: str, pattern: str, each: Callable
     """A stream of new files in ``folder`` (path, content); ``each`` gets every batch once, by its number."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    rows = files.select("path", "modificationTime", "length", F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = files.select("path", "modificationTime", "length", F.decode("content", "UTF-8").alias("content"))
     return rows.writeStream.foreachBatch(each)
