@@ -9,58 +9,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as t
 from weftgraph.operators import build, java, mapper, markup, procedures, urls, verify
+from weftgraph.plans.fixtures import FILES
 from weftgraph.sources import dictionary, project, snapshots
 from weftgraph.streaming import incremental, limiter
 
-PAGE = """<%@ taglib prefix="c" uri="http://x/core" %>
-<%@ include file="/common/head.jsp" %>
-<jsp:include page="side.jsp"/>
-<% int n = 1; %><p>${order.total} #{cfg}</p><%= n %>
-<form action="/save" method="post"><input name="a" required><select name="b"></select></form>
-<a href="/order/list">all</a><a href="#x">x</a><img src="/logo.png">
-<script>$.ajax({url: '/order/7', type: 'GET'}); fetch("/other", {method: "DELETE"});</script>"""
-CONTROLLER = """package com.shop.web;
-import com.shop.service.OrderService;
-@Controller
-@RequestMapping("/order")
-public class OrderController {
-    @Autowired
-    private OrderService orderService; // the "service" {
-    @GetMapping("/{id}")
-    public String show(@PathVariable Long id, int size) { return "order/show" + orderService.find(id, f(1, 2)); }
-    @RequestMapping(value = "/save", method = RequestMethod.POST)
-    public String save() { orderService.store(null); return "done"; }
-}"""
-SERVICE = """package com.shop.service;
-@Service
-@Transactional(readOnly = true)
-public class OrderService {
-    private final OrderMapper orderMapper;
-    public OrderService(OrderMapper orderMapper) { this.orderMapper = orderMapper; }
-    public Order find(Long id, int k) throws NotFound, IOException { try { return this.orderMapper.byId(id); } catch (SqlError | Timeout e) { return null; } }
-    @Transactional(rollbackFor = Exception.class)
-    public void store(Order o) { orderMapper.insertOrder(o); }
-}"""
-INTERFACE = """package com.shop.dao;
-@Mapper
-public interface OrderMapper {
-    Order byId(@Param("id") Long id);
-    int insertOrder(Order o);
-    void sync();
-}"""
-XML = """<?xml version="1.0"?><!DOCTYPE mapper PUBLIC "-//x//DTD Mapper 3.0//EN" "http://x/m.dtd">
-<mapper namespace="com.shop.dao.OrderMapper">
-  <sql id="cols">id, total</sql>
-  <resultMap id="r" type="Order"><id column="id" property="id"/><result column="total" property="total"/></resultMap>
-  <select id="byId" resultMap="r">SELECT <include refid="cols"/> FROM shop.orders o LEFT JOIN users u ON u.id = o.uid <where><if test="id != null">id = #{id}</if></where></select>
-  <insert id="insertOrder">INSERT INTO orders (id) VALUES (#{id,jdbcType=INTEGER})</insert>
-  <select id="sync" statementType="CALLABLE">{CALL pkg.sync_user_data(#{id})}</select>
-</mapper>"""
-FILES = {
-    "pom.xml": "<project/>", "src/main/webapp/WEB-INF/views/order.jsp": PAGE, "src/main/webapp/common/head.jsp": "<p>", "src/main/java/com/shop/web/OrderController.java": CONTROLLER,
-    "src/main/java/com/shop/service/OrderService.java": SERVICE, "src/main/java/com/shop/dao/OrderMapper.java": INTERFACE, "src/main/resources/mapper/OrderMapper.xml": XML, "src/main/java/com/shop/UserEntity.java": "class UserEntity {}",
-}
-
 
 @pytest.fixture(scope="module")
 def files(spark, tmp_path_factory):
@@ -234,3 +186,29 @@ def test_stream_limiter(spark, tmp_path):
     q.stop()
     got = [r["accepted"] for r in spark.sql("select * from lim order by ts").collect()]
     assert got == [True, True, False, False, True]
+
+
+def test_batch_and_api(spark, files, tmp_path):
+    from weftgraph import api
+    from weftgraph.operators import batch
+
+    bad = files.limit(0).unionByName(spark.createDataFrame([("p", "x/BadMapper.xml", None, 3, "<x")], "path string, rel string, mtime timestamp, length long, content string"))
+    rows = batch.analyse_files(files.unionByName(bad)).cache()
+    r = batch.report(rows)
+    assert r["overall"].head()["total"] == 7 and [i["node_id"] for i in r["issues"].collect()] == ["x/BadMapper.xml"]
+    classes = java.extract_classes(_kind(files, "mapper"))
+    maps = mapper.extract_mappers(_kind(files, "mapper_xml"))
+    assert batch.unmapped_methods(classes, maps).isEmpty()
+    known = spark.createDataFrame([("ORDERS",)], "name string")
+    assert {x["table_name"] for x in batch.unknown_tables(mapper.statements(maps), known).collect()} == {"users"}
+    for name, text in FILES.items():
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_text(text)
+    api.main(["build-graph", str(tmp_path / "src"), "--out", str(tmp_path / "g")])
+    g = snapshots.load_graph(spark, str(tmp_path / "g"))
+    start = "CONTROLLER_METHOD:com.shop.web.OrderController.show"
+    assert api.find_chain(g, start, "TABLE:ORDERS").head()["depth"] == 4
+    assert {r["level"] for r in api.impact_analysis(g, start, "downstream").collect()} == {"level_1", "level_2", "level_3", "level_4"}
+    assert api.impact_analysis(g, "nowhere") is None and start in api.suggestions(g, "ordercontroller.show")
+    assert api.graph_stats(g)["overall"].head()["n"] == g.nodes.count()
+    api.export_all(g, str(tmp_path / "out"))
