@@ -212,3 +212,16 @@ def test_batch_and_api(spark, files, tmp_path):
     assert api.impact_analysis(g, "nowhere") is None and start in api.suggestions(g, "ordercontroller.show")
     assert api.graph_stats(g)["overall"].head()["n"] == g.nodes.count()
     api.export_all(g, str(tmp_path / "out"))
+
+
+def test_loading(spark, tmp_path):
+    (tmp_path / "jsp").mkdir()
+    (tmp_path / "jsp" / "a.json").write_text('{"file": "a.jsp", "forms": ["f", "g"]}')
+    (tmp_path / "jsp" / "b.json").write_text("{")
+    records, bad = snapshots.load_analyses(spark, str(tmp_path), {"jsp": "file string, forms array<string>", "service": "file string"})
+    assert [tuple(r) for r in bad.collect()] == [("jsp", "b.json")]
+    assert {r["kind"]: (r["records"], r["items"]) for r in snapshots.analysis_summary(records, {"jsp": "forms"}).collect()} == {"jsp": (1, 2), "service": (0, 0)}
+    assert snapshots.find_record(records["jsp"], "file", "a.jsp").count() == 1
+    from weftgraph.operators import quality
+
+    assert quality.validate_records({"jsp": 1}) == ["neither controllers nor services", "pages without controllers"]

@@ -190,18 +190,23 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 def dag_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, depth``: longest path to a leaf (a leaf: 0); null for nodes that reach a cycle.
 
-    Leaves go first; each round settles the nodes whose successors are settled.
+    Leaves go first. Each round sends the newly settled depths along their
+    in-edges and settles the nodes all of whose successors have reported; only
+    open nodes are carried on.
     """
-    hop = edges.select("src", "dst").distinct()
-    n_out = hop.groupBy("src").agg(F.count("*").alias("n"))
-    settled = materialize(nodes.select(F.col("id").alias("node")).join(n_out, F.col("node") == F.col("src"), "left_anti").withColumn("depth", F.lit(0)), "depth")
+    hop = materialize(edges.select("src", "dst").distinct(), "depth-edges")
+    waiting = materialize(hop.groupBy("src").agg(F.count("*").alias("left"), F.lit(0).alias("best")), "depth")
+    fresh = nodes.select(F.col("id").alias("node")).join(waiting, F.col("node") == F.col("src"), "left_anti").withColumn("depth", F.lit(0))
+    settled = fresh = materialize(fresh, "depth")
     while True:
-        ready = hop.join(settled, F.col("dst") == F.col("node")).groupBy("src").agg(F.count("*").alias("k"), F.max("depth").alias("d"))
-        ready = ready.join(n_out, "src").where("k = n").select(F.col("src").alias("node"), (F.col("d") + 1).alias("depth"))
-        new = materialize(ready.join(settled, "node", "left_anti"), "depth")
-        if new.isEmpty():
+        told = hop.join(fresh, F.col("dst") == F.col("node")).groupBy("src").agg(F.count("*").alias("k"), (F.max("depth") + 1).alias("d"))
+        waiting = waiting.join(told, "src", "left").select("src", (F.col("left") - F.coalesce("k", F.lit(0))).alias("left"), F.greatest("best", F.coalesce("d", F.lit(0))).alias("best"))
+        waiting = materialize(waiting, "depth")
+        fresh = waiting.where("left = 0").select(F.col("src").alias("node"), F.col("best").alias("depth"))
+        if fresh.isEmpty():
             return nodes.select(F.col("id").alias("node")).join(settled, "node", "left")
-        settled = settled.unionByName(new)
+        settled = settled.unionByName(fresh)
+        waiting = waiting.where("left > 0")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

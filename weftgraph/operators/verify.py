@@ -105,3 +105,13 @@ def batch_summary(results: DataFrame) -> DataFrame:
     """``kind, total, completed, success_rate`` of task results (kind, success)."""
     out = results.groupBy("kind").agg(F.count("*").alias("total"), F.count_if("success").alias("completed"))
     return out.withColumn("success_rate", F.round(F.col("completed") / F.col("total") * 100, 2))
+
+
+def by_priority(tasks: DataFrame) -> DataFrame:
+    """Tasks (priority, ..) from high to low; ties by identifier."""
+    return tasks.orderBy(F.desc("priority"), "identifier")
+
+
+def without_type(cache: DataFrame, kind: str | None = None) -> DataFrame:
+    """The cache without the entries of a type, or without any."""
+    return cache.limit(0) if kind is None else cache.where(F.col("type") != kind)

@@ -346,7 +346,7 @@ c AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges)
 SELECT *, round(greatest(0.0, least(0.5 * least(edges / 2.0 / nodes, 1.0) + 0.3 * (1 - orphans / nodes) + 0.2 * (1 - issues / nodes), 1.0)), 4) AS score FROM c""")
 def completeness_score(spark, sf):
     g = graphs.supply(spark, sf)
-    return quality.completeness(g.nodes, g.edges, RULES)
+    return quality.completeness(g.nodes, materialize(g.edges, "edges"), RULES)
 
 
 @query(f"{SUP}, o AS (SELECT src AS id, count(*) AS k FROM edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS k FROM edges GROUP BY 1), d AS (SELECT n.*, coalesce(i.k, 0) + coalesce(o.k, 0) AS degree FROM nodes n LEFT JOIN o ON n.id = o.id LEFT JOIN i ON n.id = i.id) SELECT id AS node, type, 25 + least(5 * degree, 25) AS size, '#9E9E9E' AS colour, type || ' | ' || substr(coalesce(name, id), 1, 50) || ' | degree ' || degree AS tooltip FROM d")

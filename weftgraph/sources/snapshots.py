@@ -49,3 +49,34 @@ def load_graph(spark: SparkSession, folder: str, now: Column | None = None, hour
 def latest(files: DataFrame) -> DataFrame:
     """The path of the newest graph file among ``files`` (path, mtime), statistics and low-confidence files apart."""
     return files.where(~F.col("path").rlike(r"(?:_stats|_low_confidence)[.]json$")).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def load_analyses(spark: SparkSession, folder: str, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Records of each kind in ``folder/kind`` and the files that do not parse; a missing folder is an empty table."""
+    from pyspark.errors import AnalysisException
+
+    out, bad = {}, spark.createDataFrame([], "kind string, source_file string")
+    for kind, schema in schemas.items():
+        try:
+            out[kind], errors = read_json_records(spark, f"{folder}/{kind}", schema)
+            bad = bad.unionByName(errors.select(F.lit(kind).alias("kind"), "source_file"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            out[kind] = spark.createDataFrame([], f"{schema}, source_file string")
+    return out, bad
+
+
+def analysis_summary(records: dict[str, DataFrame], nested: dict[str, str]) -> DataFrame:
+    """``kind, records, items``: records of each kind and the total length of the array column that ``nested`` names."""
+    out = None
+    for kind, df in records.items():
+        items = F.coalesce(F.sum(F.size(nested[kind])), F.lit(0)) if kind in nested else F.lit(0)
+        one = df.agg(F.lit(kind).alias("kind"), F.count("*").alias("records"), items.cast("long").alias("items"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def find_record(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The first record, by file, whose ``column`` is ``value``."""
+    return df.where(F.col(column) == value).orderBy("source_file").limit(1)
