@@ -296,6 +296,8 @@ def test_mixing(spark, docs, case):
 def test_mixing_edges(spark):
     assert mixing.copies(edge(spark)).count() == len(EDGE) and mixing.mix(edge(spark)).columns == edge(spark).columns
     assert mixing.copies(edge(spark).limit(0)).count() == 0
+    odd = spark.createDataFrame([(i, "a b", "s", "mine", 7) for i in range(20)], "doc_id long, text string, source string, size string, rate long")
+    assert {(r["size"], r["rate"]) for r in mixing.mix(odd).collect()} == {("mine", 7)}
     nothing = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")
     assert [r["copies"] for r in mixing.copies(nothing).collect()] == [0, 0]
 

@@ -72,9 +72,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: float
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as its copies say, columns as given."""
-    out = copies(docs, **options).where("copies > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The mixed corpus: every document as often as its copies say, columns and their values as given."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    out = copies(docs.select("doc_id", "text", "source", whole), **options).where("copies > 0")
+    return out.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_whole.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

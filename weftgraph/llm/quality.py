@@ -185,8 +185,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, columns as given. Rows with a null doc_id stay."""
-    rejected = classify(docs, labels, **options).where("not keep").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rejected = materialize(classify(docs, labels, **options).where("not keep").select("doc_id").distinct(), "quality-rejected")
+    return docs.join(small_side(rejected, rejected.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
