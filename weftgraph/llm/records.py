@@ -30,7 +30,7 @@ END_ID = 2
 #: Estimated bytes of input storage for one output file; the estimate is low by about half, since text outweighs the other columns.
 SHARD_BYTES = 5_000_000
 #: Distinct words whose ids a worker keeps, about.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 MEMO_CHARS = 40
 #: Stands between words that are encoded together; a token of its own.
 MARK = "\x00"
