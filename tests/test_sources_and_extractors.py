@@ -225,3 +225,16 @@ def test_loading(spark, tmp_path):
     from weftgraph.operators import quality
 
     assert quality.validate_records({"jsp": 1}) == ["neither controllers nor services", "pages without controllers"]
+
+
+def test_watching_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsp").write_text("<p>one")
+    (tmp_path / "in" / "b.txt").write_text("no")
+    seen = []
+    q = incremental.watch_sources(spark, str(tmp_path / "in"), "*.jsp", lambda df, n: seen.extend(r["content"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    (tmp_path / "in" / "c.jsp").write_text("<p>two")
+    q.processAllAvailable()
+    q.stop()
+    assert seen == ["<p>one", "<p>two"]

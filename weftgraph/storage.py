@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"weftgraph-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 
