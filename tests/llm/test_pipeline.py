@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -39,6 +40,41 @@ def test_stage_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "label"]
 
 
+def test_near_duplicates_at_80(spark):
+    from test_operators import brute_components
+
+    rng = random.Random(5)
+    texts = {}
+    hard = 0
+    for k in range(6000):  # pairs in which a run of words is changed; of those at 0.80, more that 23 symbols do not reach
+        w = [f"p{k}x{i}" for i in range(204)]
+        n = 6 + k % 20 if k < 100 else 18
+        at = rng.randrange(10, 190 - n)
+        pair = [" ".join(w), " ".join([*w[:at], *(f"q{k}x{i}" for i in range(n)), *w[at + n :]])]
+        x, y = map(near_dedup.signature, near_dedup.shingle_sets(pair))
+        far = k >= 100 and (x != y).sum() > 23
+        hard += far
+        if k < 100 or far:
+            texts[2 * k], texts[2 * k + 1] = pair
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_dedup.keep_one(docs, percent=80).collect()}
+    at_80, at_85 = ({d for d, (_, c) in brute_components(texts, percent).items() if d == c} for percent in (80, 85))
+    assert hard and kept == at_80 and len(at_80) < len(at_85)
+
+
+def test_miss_rate():
+    for percent in (80, 85, 90):
+        assert near_dedup._miss(near_dedup.chunks_for(percent), percent) <= near_dedup._miss(near_dedup.CHUNKS, near_dedup.PERCENT) < 1e-5
+    rng = np.random.default_rng(3)
+    chunks = near_dedup.chunks_for(80)
+    for _ in range(200):
+        a = rng.integers(0, 65536, near_dedup.SYMBOLS).astype("<u2")
+        b = a.copy()
+        b[rng.choice(near_dedup.SYMBOLS, 2 * chunks - 1, replace=False)] ^= 1
+        ka, kb = near_dedup.chunk_keys(np.stack([a, b]), chunks)
+        assert (ka == kb).any()
+
+
 def docs_extra():
     from pyspark.sql import functions as F
 

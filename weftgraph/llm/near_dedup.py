@@ -19,6 +19,8 @@ is expanded into all pairs.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +48,6 @@ _PLACE = _odd(SHINGLE)
 _XOR, _MUL = _odd(SYMBOLS), _odd(SYMBOLS)
 _BASE = int(_odd(1)[0]) | 5
 _KEY_PLACE, _KEY_MASK = _odd(SYMBOLS), _odd(SYMBOLS)
-#: Start of each chunk among the symbols.
-CHUNK_AT = np.array([k * SYMBOLS // CHUNKS for k in range(CHUNKS)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -58,6 +58,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _miss(chunks: int, percent: int) -> float:
+    """Probability that a pair at the threshold differs in more symbols than ``chunks`` chunks find."""
+    p = 1 - percent / 100
+    return sum(math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(2 * chunks, SYMBOLS + 1))
+
+
+@functools.lru_cache
+def chunks_for(percent: int) -> int:
+    """The fewest chunks that miss a pair at ``percent`` no more often than ``CHUNKS`` one at ``PERCENT``."""
+    if percent == PERCENT:
+        return CHUNKS
+    enough = [c for c in range(1, SYMBOLS // 2 + 1) if _miss(c, percent) <= _miss(CHUNKS, PERCENT)]
+    if not enough:
+        raise ValueError(f"signatures of {SYMBOLS} symbols are too short for a threshold of {percent} %")
+    return enough[0]
+
+
 class _Powers:
     """Powers of an odd base mod 2**64 and of its inverse, as far as asked for."""
 
@@ -133,15 +150,17 @@ def sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def chunk_keys(sigs: np.ndarray) -> np.ndarray:
+def chunk_keys(sigs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """One key for each row of ``sigs`` and each symbol that may be wrong: the other symbols of its chunk."""
     h = mix(sigs.astype(np.uint64) * _KEY_PLACE + _KEY_PLACE)
-    chunk = np.searchsorted(CHUNK_AT, np.arange(SYMBOLS), side="right") - 1
-    return mix((np.add.reduceat(h, CHUNK_AT, axis=1)[:, chunk] - h) ^ _KEY_MASK)
+    chunk_at = np.array([k * SYMBOLS // chunks for k in range(chunks)])
+    chunk = np.searchsorted(chunk_at, np.arange(SYMBOLS), side="right") - 1
+    return mix((np.add.reduceat(h, chunk_at, axis=1)[:, chunk] - h) ^ _KEY_MASK)
 
 
-def index_keys(nodes: DataFrame) -> DataFrame:
+def index_keys(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``key, node``: the multi-index, ``SYMBOLS`` rows a node."""
+    chunks = chunks_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,18 +168,19 @@ def index_keys(nodes: DataFrame) -> DataFrame:
                 part = b.slice(k, 2000)
                 sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sigs).ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sigs, chunks).ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def within_distance(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in ``DISTANCE`` symbols at most."""
+def within_distance(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose signatures differ in as many symbols at most as the chunks find."""
+    distance = 2 * chunks_for(percent) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, SYMBOLS) for k in (2, 3))
-            yield b.filter(pa.array((x != y).sum(1) <= DISTANCE)).select(["a", "b"])
+            yield b.filter(pa.array((x != y).sum(1) <= distance)).select(["a", "b"])
 
     both = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -262,7 +282,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     ``nodes`` has ``node, sig`` (distinct sets), ``docs`` ``doc_id, text`` of at
     least these nodes.
     """
-    keys = index_keys(nodes)
+    keys = index_keys(nodes, percent)
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keys.join(counts, "key"), "near-keys")
     company = materialize(shared.groupBy("node").agg(F.sum("n").alias("company")), "near-company")
@@ -276,7 +296,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     texts = materialize(texts.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "near-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        close = materialize(within_distance(pairs.distinct(), sigs), "near-close")
+        close = materialize(within_distance(pairs.distinct(), sigs, percent), "near-close")
         return materialize(confirm(close, texts, percent), "near-links")
 
     hubs = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("best")).select("key", (-F.col("best.col2")).alias("hub"))
