@@ -195,6 +195,20 @@ def test_html_edges(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_telling_tags(spark):
+    notice = "We keep a record of what you read here so that we can show you more of the same tomorrow"
+    words = [f"w{i}" for i in range(400)]
+    page = lambda k: f"<body><div id=c1>Home News Contact</div><div id=c2><h1>About {words[k]}</h1><p>{' '.join(words[20 * k : 20 * k + 15])}</p><div id=c3>{notice}</div><p>{words[k]} again</p></div><div id=c4>All rights reserved</div></body>"
+    want = lambda k: f"About {words[k]}\n\n{' '.join(words[20 * k : 20 * k + 15])}\n\n{words[k]} again"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)]
+    rows += [(100 + k, f"http://b.example/{k}", page(3)) for k in range(4)]  # copies of a page: nothing varies
+    rows += [(200 + k, f"http://c.example/{k}", page(k).replace("<div id=c2>", "<article>").replace("again</p></div>", "again</p></article>")) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {d: got[d] for d in got if d < 100} == {k: want(k) for k in range(12)}
+    assert all(want(3).split("\n\n")[1] in got[100 + k] for k in range(4))
+    assert [got[200 + k] for k in range(5)] == [want(k) for k in range(5)]
+
+
 # --- near duplicates
 
 

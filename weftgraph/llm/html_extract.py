@@ -1,13 +1,13 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens are tags, and words of short texts (long ones are data), with the tag
+Tokens are tags, words of short texts and long texts as a whole, with the tag
 path they stand in. Tokens with the same
 occurrence vector over the pages of a host (how often in which page) form an
-equivalence class; large classes that most pages hold are the template's. The
-class of tokens that stand once in every page is the root, whose gaps are
-slots; classes that repeat are nested in the slot that holds them. The slot
+equivalence class; large classes that most pages hold are the template's. What
+stands between the template's tokens is its slots: a text made of template
+tokens alone is constant, any other fills a slot. The
 region that carries the article is looked for among the template's tags, and
-each page's text in that region, without the parts that serve other ends, is
+each page's slots in that region, without the parts that serve other ends, are
 the result.
 
 Vectors are never gathered: a token carries the XOR of a hash of (page, count),
@@ -32,7 +32,7 @@ from .common import arrow_map, materialize, small_side, table
 #: A class is the template's if it has so many tokens, in so many pages and so large a share of them.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.6
 
-#: Words of a text up to which they count as tokens.
+#: Words of a text up to which they count as tokens; a longer one is a token as a whole.
 LABEL_WORDS = 12
 
 #: Fixed values of HTML: elements without content, with raw text, and those that start a block.
@@ -127,25 +127,39 @@ def path_key(path: tuple[str, ...]) -> int:
     return _hash("/".join(path))
 
 
+def text_words(text: str) -> list[str]:
+    """What counts as tokens of a text: its words, or a long one as a whole."""
+    words = text.split(None, LABEL_WORDS)
+    return words if len(words) <= LABEL_WORDS else [" ".join(text.split())]
+
+
+def token_hashes(words: list[str], path: int, memo: dict[str, int]) -> np.ndarray:
+    """Hashes of tokens that stand in the path with that key."""
+    ids = []
+    for w in words:
+        h = memo.get(w)
+        if h is None:
+            if len(w) > 100:
+                h = _hash(w)
+            else:
+                if len(memo) > 300_000:
+                    memo.clear()
+                h = memo[w] = _hash(w)
+        ids.append(h)
+    return _mix(np.array(ids, np.uint64) ^ np.uint64(path * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
 def page_tokens(page: str, memo: dict[str, int]) -> np.ndarray:
-    """Hashes of a page's tokens in order; a word's or tag's hash depends on the path it stands in."""
+    """Hashes of a page's tokens in order; a token's hash depends on the path it stands in."""
     out: list[np.ndarray] = []
     paths: dict[tuple, int] = {}
     for kind, x, path in walk(page):
         p = paths.get(path)
         if p is None:
             p = paths[path] = path_key(path)
-        words = x.split(None, LABEL_WORDS) if kind == "text" else [f"<{'/' * (kind == 'close')}{x}>"]
-        if 0 < len(words) <= LABEL_WORDS:
-            ids = []
-            for w in words:
-                h = memo.get(w)
-                if h is None:
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    h = memo[w] = _hash(w)
-                ids.append(h)
-            out.append(_mix(np.array(ids, np.uint64) ^ np.uint64(p * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+        words = text_words(x) if kind == "text" else [f"<{'/' * (kind == 'close')}{x}>"]
+        if words:
+            out.append(token_hashes(words, p, memo))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -155,11 +169,11 @@ def tag_token(token: str, path: tuple[str, ...]) -> int:
     return int(_mix(np.array([_hash(f"<{token}>")], np.uint64) ^ p).view(np.int64)[0])
 
 
-VECTORS = "host string, token long, vector long, pages long, least long, most long, place double"
+VECTORS = "host string, token long, vector long, pages long"
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: the vector's hash, pages that hold it, least and most occurrences in one, mean place (0 to 1)."""
+    """Per host and token: the vector's hash and pages that hold it."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         memo: dict[str, int] = {}
@@ -169,48 +183,34 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
                 tokens = page_tokens(page, memo)
                 if not len(tokens):
                     continue
-                ids, first, counts = np.unique(tokens, return_index=True, return_counts=True)
+                ids, counts = np.unique(tokens, return_counts=True)
                 key = np.uint64((page_id or 0) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                by_host.setdefault(host, []).append((ids, _mix(counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ key), counts, first / len(tokens)))
+                by_host.setdefault(host, []).append((ids, _mix(counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ key)))
             for host, parts in by_host.items():
-                ids, vec, counts, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ids, vec = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order = np.argsort(ids, kind="stable")
-                ids, vec, counts, place = ids[order], vec[order], counts[order], place[order]
+                ids, vec = ids[order], vec[order]
                 at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
                 yield {
                     "host": [host] * len(at),
                     "token": ids[at].view(np.int64),
                     "vector": np.bitwise_xor.reduceat(vec, at).view(np.int64),
                     "pages": np.diff(np.r_[at, len(ids)]),
-                    "least": np.minimum.reduceat(counts, at),
-                    "most": np.maximum.reduceat(counts, at),
-                    "place": np.add.reduceat(place, at),
                 }
 
     part = arrow_map(pages, run, VECTORS)
-    return part.groupBy("host", "token").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("place") / F.sum("pages")).alias("place")
-    )
+    return part.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"))
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """One row a host: ``template array<struct<slot, token, once>>``, the valid classes in page order.
-
-    ``once`` tokens are the root class; ``slot`` is the number of root tokens
-    up to the token's place, so a nested class stands in the slot that holds it.
-    """
+    """One row a host: ``template array<long>``, the tokens of its valid classes."""
     per_host = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     tokens = occurrence_vectors(pages).join(materialize(per_host, "template-hosts"), "host")
     frequent = tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("host_pages")))
     frequent = materialize(frequent, "template-tokens")
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.max("most").alias("most"), F.min("least").alias("least"))
-    valid = classes.where(F.col("size") >= MIN_TOKENS)
-    kept = frequent.drop("least", "most").join(valid, ["host", "vector", "pages"])
-    listed = kept.groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("place", "token", ((F.col("most") == 1) & (F.col("pages") == F.col("host_pages"))).alias("once")))).alias("t")
-    )
-    slot = lambda i: F.size(F.filter(F.slice("t", 1, i + 1), lambda y: y["once"]))
-    return listed.select("host", F.transform("t", lambda x, i: F.struct(slot(i).alias("slot"), x["token"].alias("token"), x["once"].alias("once"))).alias("template"))
+    valid = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS)
+    kept = frequent.join(valid, ["host", "vector", "pages"], "left_semi")
+    return kept.groupBy("host").agg(F.collect_list("token").alias("template"))
 
 
 def _marks(token: str) -> str:
@@ -233,14 +233,16 @@ def _main_rank(token: str) -> int:
     return 2 if MAIN_WORDS.search(_marks(token)) else 3 if name == "body" else 9
 
 
-def main_text(page: str, template: set[int] | None) -> str:
+def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None = None, slots: bool = True) -> str:
     """The article's blocks, joined by an empty line.
 
     The region is the best-ranked element that opens in the page and, where
     the host has a template, belongs to it; a page that its host's template
     does not fit is read by its own elements alone, and one without a body as
-    a whole.
+    a whole. Texts that are the template's are left out, unless the region holds no other: copies
+    of one page have no slots.
     """
+    memo = {} if memo is None else memo
     steps = list(walk(page))
     ranks: dict[tuple[str, ...], tuple[int, int]] = {}
     for k, (kind, x, path) in enumerate(steps):
@@ -250,10 +252,21 @@ def main_text(page: str, template: set[int] | None) -> str:
     region = min(ranks, key=ranks.__getitem__, default=())
     depth = len(region)
     apart: dict[tuple[str, ...], bool] = {}
+    keys: dict[tuple[str, ...], int] = {}
     blocks: list[str] = []
     current: list[str] = []
     last: tuple[str, ...] | None = None
     inside = False
+    constant = False
+
+    def is_constant(text: str, path: tuple[str, ...]) -> bool:
+        words = text_words(text)
+        if not words:
+            return False
+        p = keys.get(path)
+        if p is None:
+            p = keys[path] = path_key(path)
+        return template.issuperset(token_hashes(words, p, memo).view(np.int64).tolist())
 
     def flush() -> None:
         text = re.sub(r"\s+", " ", html_lib.unescape("".join(current))).strip()
@@ -270,13 +283,18 @@ def main_text(page: str, template: set[int] | None) -> str:
                 if skip is None:
                     names = path[depth:] if depth else path
                     skip = apart[path] = any(map(_is_apart, names)) or (not depth or ranks[region][0] % 4 == 3) and any(n.partition(".")[0] in ("header", "head") for n in path)
-                if not skip:
+                if not skip and slots and template and is_constant(x, path):
+                    constant = True
+                    current.append(" ")
+                elif not skip:
                     current.append(x)
         elif x.partition(".")[0] in BLOCK:
             flush()
         elif x == "br" and inside:
             current.append("\n")
     flush()
+    if constant and not blocks:
+        return main_text(page, template, memo, False)
     return "\n\n".join(blocks)
 
 
@@ -290,21 +308,20 @@ def extract(pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", "url", F.lower(host).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     templates = materialize(deduce_templates(base.select("page_id", "host", "html")), "templates")
     n = templates.count()
-    slim = templates.select("host", F.col("template.token").alias("template"))
-    joined = base.join(small_side(slim, 20 * n), "host", "left").select("page_id", "url", "html", "template")
+    joined = base.join(small_side(templates, 20 * n), "host", "left").select("page_id", "url", "host", "html", "template")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        memo: dict[str, int] = {}
         for b in batches:
-            seen: dict[int, set[int]] = {}
+            seen: dict[str, set[int]] = {}
             out = []
-            for page, template in zip(b["html"], b["template"], strict=True):
+            for host, page, template in zip(b["host"], b["html"], b["template"], strict=True):
                 own = None
                 if template:
-                    key = hash((len(template), template[0], template[-1], template[len(template) // 2]))
-                    own = seen.get(key)
+                    own = seen.get(host)
                     if own is None:
-                        own = seen[key] = set(template)
-                out.append(main_text(page, own))
+                        own = seen[host] = set(template)
+                out.append(main_text(page, own, memo))
             yield {"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]}
 
     return arrow_map(joined, run, "page_id long, url string, text string, n_chars long")
