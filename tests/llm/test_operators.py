@@ -188,6 +188,17 @@ def test_html_cases(page, text):
     assert html_extract.main_text(page, None) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body class='has-sidebar'><article><p>x</p></article></body>", "x"), ("<body class='no-sidebar post-comments-open'><p>x</p></body>", "x"),
+    ("<div class='page search'><article><p>x</p><div class=share>s</div></article></div>", "x"), ("<body><div class='page search'><p>x</p></div></body>", "x"),
+    ("<div class='wrap comments-open'><main>x</main></div><div class=related><article>r</article></div>", "x"), ("<div class=related><article>r</article></div><article>x</article>", "x"),
+    ("<article><p>x</p><svg width=1 /><p>y</p></article>", "x\n\ny"), ("<article><p>x</p><button>go<p>y</p><select><object></article>", "x\n\ngo\n\ny"),
+    ("<article><svg><text>no</text></svg><p>x</p><script>a<b</article>", "x"), ("<body class=menu><nav>m</nav><p>x</p></body>", "x"),
+])
+def test_html_wrappers(page, text):
+    assert html_extract.main_text(page, None) == text
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (1, "http://a.b/c", "<p>x"), (None, "http://a.b/d", ""), (2, "http://a.b/c", "<p>x")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -48,34 +48,55 @@ APART = frozenset("nav footer aside form menu dialog".split())
 APART_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|banner|alert|comments?|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|popup|modal|overlay|footer|masthead|complementary|contentinfo|toolbar|pagination|pager|login|search|widget)(?:$|[\s_-])"
 )
+#: A class that only tells the state of the element ("has-sidebar", "comments-open") sets nothing apart.
+STATE = re.compile(r"(?:has|no|not|with|without|is|hide|show|enable|disable)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|active|inactive|on|off|visible|hidden)")
 #: Where an article stands, best first: elements, then words in class, id or role.
 MAIN_TAGS = ("article", "main")
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|post|entry|story|content|body-text|bodytext)(?:$|[\s_-])")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+#: Unclosed, these have no text, but code up to the end of the page.
+_CODE = ("script", "style")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """``(kind, name or text, marks)``: open, close, text. marks: class, id and role of the element, lower case."""
-    for m in _TOKEN.finditer(page):
-        if m["text"] is not None:
-            yield "text", m["text"], ""
-        elif m["raw"]:
-            yield "raw", m["raw"].lower(), ""
-        elif name := (m["name"] or m["name2"]):
-            if m["close"] or m["close2"]:
-                yield "close", name.lower(), ""
-            else:
-                attrs = m["attrs"] or m["attrs2"] or ""
-                yield "open", name.lower(), " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if "=" in attrs else ""
+    """``(kind, name or text, marks)``: open, close, text. marks: class, id and role of the element, lower case.
+
+    A raw element that closes itself or is never closed is empty.
+    """
+    at: int | None = 0
+    unclosed: set[str] = set()
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            if m["text"] is not None:
+                yield "text", m["text"], ""
+            elif m["raw"]:
+                raw = m["raw"].lower()
+                yield "raw", raw, ""
+                if m[0].endswith("/>") or raw in unclosed:
+                    continue
+                if end := _END[raw].search(page, m.end()):
+                    at = end.end()
+                    break
+                if raw in _CODE:
+                    return
+                unclosed.add(raw)
+            elif name := (m["name"] or m["name2"]):
+                if m["close"] or m["close2"]:
+                    yield "close", name.lower(), ""
+                else:
+                    attrs = m["attrs"] or m["attrs2"] or ""
+                    yield "open", name.lower(), " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if "=" in attrs else ""
 
 
 def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
@@ -130,37 +151,40 @@ def path_key(path: tuple[str, ...]) -> int:
 def text_words(text: str) -> list[str]:
     """What counts as tokens of a text: its words, or a long one as a whole."""
     words = text.split(None, LABEL_WORDS)
-    return words if len(words) <= LABEL_WORDS else [" ".join(text.split())]
+    return words if len(words) <= LABEL_WORDS else [text.strip()]
 
 
-def token_hashes(words: list[str], path: int, memo: dict[str, int]) -> np.ndarray:
-    """Hashes of tokens that stand in the path with that key."""
+def token_ids(words: list[str], memo: dict[str, int]) -> list[int]:
+    """Hashes of tokens without their path."""
     ids = []
     for w in words:
-        h = memo.get(w)
+        h = memo.get(w) if len(w) <= 100 else _hash(w)
         if h is None:
-            if len(w) > 100:
-                h = _hash(w)
-            else:
-                if len(memo) > 300_000:
-                    memo.clear()
-                h = memo[w] = _hash(w)
+            if len(memo) > 300_000:
+                memo.clear()
+            h = memo[w] = _hash(w)
         ids.append(h)
-    return _mix(np.array(ids, np.uint64) ^ np.uint64(path * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return ids
+
+
+def in_path(ids: list[int], paths: list[int]) -> np.ndarray:
+    """Hashes of tokens in the paths with these keys."""
+    return _mix(np.array(ids, np.uint64) ^ np.array(paths, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def page_tokens(page: str, memo: dict[str, int]) -> np.ndarray:
     """Hashes of a page's tokens in order; a token's hash depends on the path it stands in."""
-    out: list[np.ndarray] = []
+    ids: list[int] = []
+    at: list[int] = []
     paths: dict[tuple, int] = {}
     for kind, x, path in walk(page):
         p = paths.get(path)
         if p is None:
             p = paths[path] = path_key(path)
         words = text_words(x) if kind == "text" else [f"<{'/' * (kind == 'close')}{x}>"]
-        if words:
-            out.append(token_hashes(words, p, memo))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        ids += token_ids(words, memo)
+        at += [p] * len(words)
+    return in_path(ids, at)
 
 
 def tag_token(token: str, path: tuple[str, ...]) -> int:
@@ -218,35 +242,50 @@ def _marks(token: str) -> str:
 
 
 @functools.lru_cache(10_000)
-def _is_apart(token: str) -> bool:
-    return token.partition(".")[0] in APART or bool(APART_WORDS.search(_marks(token)))
+def _is_apart(token: str, words: bool = True) -> bool:
+    """Whether an element serves other ends by its name or, with ``words``, by its class, id or role."""
+    name = token.partition(".")[0]
+    if name in APART:
+        return True
+    return words and name not in ("html", "body") and any(APART_WORDS.search(w) and not STATE.fullmatch(w) for w in _marks(token).split())
 
 
 @functools.lru_cache(10_000)
-def _main_rank(token: str) -> int:
+def _main_rank(token: str, words: bool = True) -> int:
     """0 is best; 9: no place for an article."""
     name = token.partition(".")[0]
-    if _is_apart(token):
+    if _is_apart(token, words):
         return 9
     if name in MAIN_TAGS:
         return MAIN_TAGS.index(name)
     return 2 if MAIN_WORDS.search(_marks(token)) else 3 if name == "body" else 9
 
 
-def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None = None, slots: bool = True) -> str:
+def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None = None, slots: bool = True, words: bool = True) -> str:
     """The article's blocks, joined by an empty line.
 
     The region is the best-ranked element that opens in the page and, where
     the host has a template, belongs to it; a page that its host's template
     does not fit is read by its own elements alone, and one without a body as
     a whole. Texts that are the template's are left out, unless the region holds no other: copies
-    of one page have no slots.
+    of one page have no slots. Words in class, id or role set nothing apart that holds the only
+    article, or where they would leave no text.
     """
     memo = {} if memo is None else memo
     steps = list(walk(page))
+    holders: set[tuple[str, ...]] = set()
+    if not any(kind == "open" and _main_rank(x) < 2 and not any(map(_is_apart, path)) for kind, x, path in steps):
+        # the only articles stand below elements whose classes set them apart: these hold the page
+        for kind, x, path in steps:
+            if kind == "open" and _main_rank(x, False) < 2 and not any(_is_apart(n, False) for n in path):
+                holders.update((*path, x)[: i + 1] for i in range(len(path) + 1))
     ranks: dict[tuple[str, ...], tuple[int, int]] = {}
+
+    def is_apart(path: tuple[str, ...], start: int = 0) -> bool:
+        return any(_is_apart(path[i], words and path[: i + 1] not in holders) for i in range(start, len(path)))
+
     for k, (kind, x, path) in enumerate(steps):
-        if kind == "open" and (rank := _main_rank(x)) < 9 and not any(map(_is_apart, path)):
+        if kind == "open" and (rank := _main_rank(x, words and (*path, x) not in holders)) < 9 and not is_apart(path):
             if (*path, x) not in ranks:
                 ranks[(*path, x)] = (rank + 4 * (template is not None and tag_token(x, path) not in template), k)
     region = min(ranks, key=ranks.__getitem__, default=())
@@ -257,16 +296,16 @@ def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None
     current: list[str] = []
     last: tuple[str, ...] | None = None
     inside = False
-    constant = False
+    constant = set_apart = False
 
     def is_constant(text: str, path: tuple[str, ...]) -> bool:
-        words = text_words(text)
-        if not words:
+        tokens = text_words(text)
+        if not tokens:
             return False
         p = keys.get(path)
         if p is None:
             p = keys[path] = path_key(path)
-        return template.issuperset(token_hashes(words, p, memo).view(np.int64).tolist())
+        return template.issuperset(in_path(token_ids(tokens, memo), [p] * len(tokens)).view(np.int64).tolist())
 
     def flush() -> None:
         text = re.sub(r"\s+", " ", html_lib.unescape("".join(current))).strip()
@@ -281,8 +320,9 @@ def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None
             if inside:
                 skip = apart.get(path)
                 if skip is None:
-                    names = path[depth:] if depth else path
-                    skip = apart[path] = any(map(_is_apart, names)) or (not depth or ranks[region][0] % 4 == 3) and any(n.partition(".")[0] in ("header", "head") for n in path)
+                    names = path[depth:]
+                    skip = apart[path] = is_apart(path, depth) or (not depth or ranks[region][0] % 4 == 3) and any(n.partition(".")[0] in ("header", "head") for n in path)
+                set_apart = set_apart or skip and not x.isspace()
                 if not skip and slots and template and is_constant(x, path):
                     constant = True
                     current.append(" ")
@@ -294,7 +334,9 @@ def main_text(page: str, template: set[int] | None, memo: dict[str, int] | None
             current.append("\n")
     flush()
     if constant and not blocks:
-        return main_text(page, template, memo, False)
+        return main_text(page, template, memo, False, words)
+    if set_apart and words and not blocks:
+        return main_text(page, template, memo, slots, False)
     return "\n\n".join(blocks)
 
 
