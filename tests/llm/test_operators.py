@@ -460,6 +460,18 @@ def test_reworded_questions(spark):
     assert got[1]["n_changed"] == 0 and got[2]["n_changed"] == 6
 
 
+def test_short_and_dense_items(spark):
+    items = {
+        1: "What is the capital of France?", 2: "Solve for x: 3x + 7 = 22.", 3: "What is 3 + 4 * 5 - 6 / 2?",
+        4: "Add 12 15 18 21 24 27 30 33 to 36 now.", 5: "Find the median of the prices Anna paid for her lunch.",
+    }
+    docs = {10 * k: f"Some words before, then Q {t} And some words after it." for k, t in items.items()}
+    docs |= {1: "What is the capital of Spain? France is near.", 3: "So what is 3 - 4 * 5 + 6 / 2?", 4: items[4].replace("36", "37"), 5: "What is the capital of", 6: None, 7: ""}
+    frame = lambda rows, names: spark.createDataFrame(list(rows.items()), names)
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect())
+    assert got == [(10 * k, k) for k in items]
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, None), (None, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
     assert decontam.find_leaks(edge(spark), items).count() == 0

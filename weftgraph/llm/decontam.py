@@ -5,7 +5,8 @@ template when its parameters change. Hashes of windows of ``WINDOW`` template
 tokens are joined with those of the benchmark; hits of one document and item on
 one diagonal are counted, and the slots they cover must be consistent: equal
 values in the item stand for equal values in the document, and the other way
-round.
+round. Items without a window that says enough, short ones and those dense with
+numbers and names, are searched for word for word.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import materialize, small_side, table, text_or_empty
 WINDOW = 8
 #: A document holds an item if so many windows of a diagonal hit (13 tokens in a row), or all that the item has.
 LEAST_HITS = 6
-#: Windows with more placeholders than this say too little and are not searched for.
+#: Windows with more placeholders than this say too little; an item that has no other is searched for word for word.
 MOST_SLOTS = WINDOW // 2
 
 #: Units of measure, as they follow a number.
@@ -36,6 +37,8 @@ NUMBER = r"(?<![\p{L}\p{N}])\d+(?:[.,:/]\d+)*"
 UNIT = rf"(?<={SLOT}d[^\s{SLOT}]{{0,24}}[ ]{{0,1}})(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&$%@^~`_=+/\\-–—‘’“”…"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: What a literal word loses at its ends; signs of arithmetic stay.
+ENDS = r"^[.,;:!?\"'()\[\]{}‘’“”…]+|[.,;:!?\"'()\[\]{}‘’“”…]+$"
 
 
 def tokens(text: Column, valued: bool = False) -> Column:
@@ -52,6 +55,11 @@ def tokens(text: Column, valued: bool = False) -> Column:
     return F.filter(F.split(t, BLANKS), lambda w: w != "")
 
 
+def literals(text: Column) -> Column:
+    """Lower-case words of ``text`` with their numbers and signs."""
+    return F.filter(F.transform(F.split(F.lower(text), BLANKS), lambda w: F.regexp_replace(w, ENDS, "")), lambda w: w != "")
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` and its lambdas name it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -71,16 +79,44 @@ def window_hashes(toks: Column, size: int = WINDOW) -> Column:
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """``item_id, ipos, h, n_windows`` of each item's windows that hold enough literal tokens.
 
-    Items of fewer than ``WINDOW`` tokens cannot be told from chance and have none.
+    Items of fewer than ``WINDOW`` tokens have none. Whether an item's first
+    word is a name depends on what stands before it, so a capital one has its
+    window both ways.
     """
-    t = items.select("item_id", tokens(text_or_empty()).alias("t"))
-    t = t.select("item_id", "t", F.posexplode(window_hashes(F.col("t"))).alias("ipos", "h"))
+    t = items.select("item_id", text_or_empty().alias("text")).select("item_id", F.col("text").rlike(r"^[\P{L}\p{M}]*\p{Lu}\p{Ll}").alias("capital"), tokens(F.col("text")).alias("t"))
+    named = t.where("capital").select("item_id", F.concat(F.array(F.lit(SLOT + "n")), F.slice("t", 2, WINDOW - 1)).alias("named"), "t")
+    named = named.select("item_id", "t", F.lit(0).alias("ipos"), F.explode(window_hashes(F.col("named"))).alias("h"))
+    t = t.select("item_id", "t", F.posexplode(window_hashes(F.col("t"))).alias("ipos", "h")).unionByName(named)
     slots = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda w: w.startswith(SLOT)))
     kept = t.where(slots <= MOST_SLOTS).select("item_id", "ipos", "h").distinct()
-    per = kept.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    per = kept.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
     return kept.join(per, "item_id")
 
 
+def find_literal(base: DataFrame, items: DataFrame) -> DataFrame | None:
+    """``doc_id, item_id`` of documents that hold an item of ``items`` word for word; None if these have no words.
+
+    The first words of an item, ``WINDOW`` at most, are looked up; what they hit is compared in full.
+    """
+    sought = items.select("item_id", literals(text_or_empty()).alias("words")).where(F.size("words") > 0).distinct()
+    sought = materialize(sought.withColumn("first", F.least(F.size("words"), F.lit(WINDOW))), "leak-literal")
+    sizes = sorted(r["first"] for r in sought.select("first").distinct().collect())
+    if not sizes:
+        return None
+
+    def struct(size: int) -> Callable[[Column, Column], Column]:
+        return lambda h, i: F.struct(F.lit(size).alias("first"), i.alias("pos"), h.alias("h"))
+
+    heads = sought.select("item_id", "words", "first", F.xxhash64(F.transform(F.slice("words", 1, WINDOW), lambda w: F.xxhash64(w))).alias("h"))
+    each = _let(literals(F.col("text")), lambda w: F.concat(*[F.transform(window_hashes(w, size), struct(size)) for size in sizes]))
+    windows = base.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.*")
+    hits = windows.join(small_side(heads.select("item_id", "first", "h"), sought.count()), ["first", "h"]).select("doc_id", "item_id", "pos").distinct()
+    hits = materialize(hits, "leak-heads")
+    docs = base.join(small_side(hits.select("doc_id").distinct(), hits.count()), "doc_id", "left_semi").select("doc_id", literals(F.col("text")).alias("held")).distinct()
+    both = hits.join(docs, "doc_id").join(heads.select("item_id", "words"), "item_id")
+    return both.where(F.slice("held", F.col("pos") + 1, F.size("words")) == F.col("words")).select("doc_id", "item_id").distinct()
+
+
 def _slots(valued: Column, of: str) -> Column:
     return F.transform(F.filter(F.transform(valued, lambda w, i: F.struct(i.alias("at"), F.substring(w, 1, 2).alias("kind"), F.substring(w, 3, 1_000_000).alias(of))), lambda s: s["kind"].startswith(SLOT)), lambda s: s)
 
@@ -90,7 +126,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``n_changed`` counts slots whose value differs from the item's: over 0 means
     re-parameterised. Pairs whose slots are inconsistent are left out, unless
-    no value changed. Null texts and null ids hold nothing; rows that repeat
+    no value changed. Items found word for word for want of windows count as one hit of one window. Null texts and null ids hold nothing; rows that repeat
     count once; an empty table on either side gives no rows. A benchmark of up
     to ``common.BROADCAST_ROWS`` windows is broadcast, a larger one is joined by shuffle.
     """
@@ -117,7 +153,12 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = out.withColumn("n_slots", F.coalesce("n_slots", zero)).withColumn("n_changed", F.coalesce("n_changed", zero))
     out = out.where((F.col("n_changed") == 0) | ((F.coalesce("forth", zero) <= 1) & (F.coalesce("back", zero) <= 1)))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_hits", "n_windows", "n_slots", (-F.col("n_changed")).alias("c"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_hits", "b.n_windows", "b.n_slots", (-F.col("b.c")).alias("n_changed"), F.lit(True).alias("contaminated"))
+    best = best.select("doc_id", "item_id", "b.n_hits", "b.n_windows", "b.n_slots", (-F.col("b.c")).alias("n_changed"), F.lit(True).alias("contaminated"))
+    literal = find_literal(base, items.where("item_id is not null").join(bench.select("item_id").distinct(), "item_id", "left_anti"))
+    if literal is None:
+        return best
+    one = F.lit(1).cast("long")
+    return best.unionByName(literal.select("doc_id", "item_id", one.alias("n_hits"), one.alias("n_windows"), zero.alias("n_slots"), zero.alias("n_changed"), F.lit(True).alias("contaminated")))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
