@@ -472,6 +472,13 @@ def test_short_and_dense_items(spark):
     assert got == [(10 * k, k) for k in items]
 
 
+def test_reworded_to_equal_values(spark):
+    item = "The old farmer has 3 apples and 5 pears in a basket under the tree and sells them all before the evening"
+    docs = {1: "Once. " + item.replace("3", "4").replace("5", "4"), 2: "Once. " + item.replace("3", "7")}
+    got = {r["doc_id"]: r["n_changed"] for r in decontam.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: 2, 2: 1}
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, None), (None, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
     assert decontam.find_leaks(edge(spark), items).count() == 0
