@@ -220,6 +220,57 @@ def test_html_without_telling_tags(spark):
     assert [got[200 + k] for k in range(5)] == [want(k) for k in range(5)]
 
 
+def unnamed_page(k, title_outside=False):
+    """A page whose tags and classes say nothing, and its article: menu, notice, comments and footer have no names."""
+    rng = random.Random(k)
+    words = lambda n: " ".join("".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    title, paras = words(5), [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 6))]
+    menu = "".join(f"<b><a href='/{k}/{i}'>{words(2)}</a></b>" for i in range(5))
+    notes = "".join(f"<div class=x9><b>{words(1)} says</b><i>{words(6)}</i></div>" for _ in range(1 + k % 4))
+    inner = "".join(f"<p>{p} <span class='side'>effects</span> of <b class='alert'>caution</b>.</p>" if i == 0 else f"<p>{p}</p>" for i, p in enumerate(paras))
+    notice = "<div class=x3>We keep a record of what you read here so that we can show you more of the same tomorrow</div>"
+    head = f"<h1>{title}</h1>"
+    page = f"<html><body><div class=x1>{menu}</div><div id=lead>Home Shop</div>{head if title_outside else ''}<div class=x2>{'' if title_outside else head}{notice}{inner}{notes}</div><div class=x4>All rights reserved by {words(1)}</div></body></html>"
+    return page, "\n\n".join([title, f"{paras[0]} effects of caution.", *paras[1:]])
+
+
+@pytest.mark.parametrize("outside", [False, True])
+def test_html_by_slots(spark, outside):
+    made = {k: unnamed_page(k, outside) for k in range(30)}
+    rows = [(k if k % 3 else None, f"http://h.example/{k}", p) for k, (p, _) in made.items()]
+    rows += [rows[4]] * 2 + [(None, "http://h.example/copy", made[7][0])] * 25  # rows that repeat, and most pages copies of one
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        k = 7 if r["url"].endswith("copy") else int(r["url"].rsplit("/", 1)[1])
+        assert (r["text"], r["n_chars"]) == (made[k][1], len(made[k][1]))
+        assert html_extract.main_text(made[k][0]) != made[k][1]  # without the template
+
+
+def test_html_records_by_tags():
+    """Comments without a constant word: records of three elements behind the article."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(str(rng.random())[2:9] for _ in range(n))
+    pages, want = [], []
+    for k in range(8):
+        paras = [words(20) for _ in range(2 + k % 3)]
+        sections = "".join(f"<section><h2>{p[:7]}</h2><p>{p}</p></section>" for p in paras)
+        notes = "".join(f"<div class=u><b>{words(1)}</b><i>{words(5)}</i></div>" for _ in range(1 + k % 2))
+        pages.append(f"<body><div class=v><p>{words(9)} {k}</p>{sections}{notes}</div></body>")
+        want.append("\n\n".join([re.search("<p>(.*?)</p>", pages[-1])[1], *(t for p in paras for t in (p[:7], p))]))
+    memo = {}
+    docs = [html_extract.Page(p, memo) for p in pages]
+    rows = collections.defaultdict(list)
+    for k, d in enumerate(docs):
+        for t, va, vb, most, kind, chars, links in zip(*html_extract.page_vector(d, k * 7919 + 1, memo), strict=True):
+            rows[int(t)].append((int(va), int(vb), int(most), int(kind), int(chars), int(links)))
+    cls = {t: (sum(r[0] for r in v), sum(r[1] for r in v), len(v)) for t, v in rows.items() if len(v) >= 5}
+    size = collections.Counter(cls.values())
+    packed = [(np.uint64(t).view(np.int64), hash(c) >> 4, max(r[2] for r in rows[t]), rows[t][0][3], sum(r[4] for r in rows[t]) / c[2], sum(r[5] for r in rows[t]) / c[2]) for t, c in cls.items() if size[c] >= 3]
+    template = html_extract.Template(np.array(packed, html_extract._ROW).tobytes())
+    assert [html_extract.main_text(p, template) for p in pages] == want
+
+
 # --- near duplicates
 
 
