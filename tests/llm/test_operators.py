@@ -530,6 +530,101 @@ def test_reworded_to_equal_values(spark):
     assert got == {1: 2, 2: 1}
 
 
+def leaks(spark, docs, items):
+    rows = lambda x, key: spark.createDataFrame(list(x.items()), f"{key} long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontam.find_leaks(rows(docs, "doc_id"), rows(items, "item_id")).collect()}
+
+
+def test_names_values_and_units(spark):
+    items = {
+        1: "Tom has 12 apples. Anna buys 3 pears. How many pieces of fruit do Tom and Anna have together after lunch?",
+        2: "A rope of 1.5 metres is cut in 4 parts of the same length by a sailor on the old ship.",
+        3: "Mary Smith walks 5 km to the market with her dog and 7 km back home every single day of the week.",
+        4: "compute 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24",
+    }
+    docs = {
+        1: "Bob has 7 apples. Lena buys 2 pears. How many pieces of fruit do Bob and Lena have together after lunch?",
+        2: items[2].replace("1.5", "15"), 3: items[3].replace("Mary Smith", "Joan").replace("5 km", "5km").replace("7 km", "8km"),
+        4: f"So {items[4]} now.", 5: items[4].replace("13", "31"), 6: items[1], 7: "Some Words. " + items[3], 8: "Question " + items[1],
+    }
+    got = leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1), (7, 3), (8, 1)}
+    assert {k: got[k]["n_changed"] for k in got} == {(1, 1): 6, (2, 2): 1, (3, 3): 2, (4, 4): 0, (6, 1): 0, (7, 3): 0, (8, 1): 0}
+
+
+def test_verbatim_with_one_value_changed(spark):
+    item = "Tom keeps 12 hens. " + " ".join(f"{a}{b}" for a in ("farm", "field", "river", "stone", "tree", "road") for b in ("side", "hand", "yard", "ward", "fall")) + " and so does Tom."
+    assert set(leaks(spark, {1: item.replace("does Tom", "does Bob"), 2: item.replace("Tom keeps", "Ann keeps").replace("fieldhand", "x").replace("stonehand", "y")}, {1: item})) == {(1, 1)}
+
+
+def brute_template(text):
+    """Template tokens and values by a scan of words, without regular expressions on the whole."""
+    toks, values = [], []
+    for w in re.findall(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*", text):
+        if w[0].isdigit():
+            toks.append("#d")
+        elif toks and toks[-1] == "#d" and w.lower() in decontam.UNITS:
+            toks.append("#u")
+        elif w[0].isupper() and w[1:].islower() and w not in decontam.OPENERS:
+            toks.append("#n")
+        else:
+            toks.append(w.lower())
+            values.append(None)
+            continue
+        values.append(w.lower())
+    return toks, values
+
+
+def brute_leaks(docs, items):
+    out = {}
+    for (d, text), (i, item) in itertools.product(docs.items(), items.items()):
+        (t, tv), (s, sv) = brute_template(text), brute_template(item)
+        windows = [p for p in range(len(s) - 7) if sum(x[0] == "#" for x in s[p : p + 8]) <= 4]
+        for shift in range(-len(s), len(t)):
+            at = [p for p in windows if 0 <= p + shift and t[p + shift : p + shift + 8] == s[p : p + 8]]
+            if not windows or len(at) < min(6, len(windows)):
+                continue
+            covered = sorted({p + k for p in at for k in range(8) if sv[p + k] is not None})
+            changed = {k for k in covered if sv[k] != tv[k + shift]}
+            stands = collections.defaultdict(set)
+            for k in covered:
+                stands[s[k], sv[k]].add(tv[k + shift])
+            same = sum(not changed & set(range(p, p + 8)) for p in at)
+            if max(map(len, stands.values()), default=0) <= 1 or not changed or same >= 0.75 * len(windows):
+                out[d, i] = max(out.get((d, i), (0, 0)), (len(at), -len(changed)))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Random questions, re-parameterised in their names, numbers and units, some inconsistently; recall over the consistent ones is 1."""
+    rng = random.Random(8)
+    names, units = ["Tom", "Anna", "Bob", "Lena", "Otto", "Ida"], ["km", "kg", "miles", "hours"]
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(3, 8)))
+    items, docs, sound = {}, {}, set()
+    for i in range(40):
+        n = [rng.choice(names) for _ in range(2)]
+        v = [f"{rng.randint(1, 99)}.{rng.randint(1, 9)}" if rng.random() < 0.3 else str(rng.randint(1, 99)) for _ in range(2)]
+        parts = [x for _ in range(5) for x in (" ".join(word() for _ in range(rng.randint(2, 6))), rng.choice([n[0], n[1], v[0], v[1], f"{v[0]} {units[i % 4]}"]))]
+        parts = [f"{n[0]} has {v[0]} {units[i % 4]} of"] + parts + [word(), "at last?"]
+        items[i] = ". ".join(" ".join(parts[k : k + 3]) for k in range(0, len(parts), 3))
+        for k in range(4):
+            text = items[i]
+            if k:
+                put = dict(zip([*names, *v, *units], [*rng.sample(names, len(names)), str(rng.randint(100, 900)), f"{rng.randint(100, 900)}.5", *rng.sample(units, len(units))], strict=True))
+                cut = re.split(r"(\d+(?:\.\d+)?|\b(?:" + "|".join([*names, *units]) + r")\b)", text)
+                text = "".join(put.get(x, x) for x in cut)
+                if k == 2:  # one mention differs
+                    at = [m.span() for m in re.finditer("|".join(names), text)]
+                    a, b = at[-1]
+                    text = text[:a] + "Zoe" + text[b:]
+            if k < 2:
+                sound.add((10 * i + k, i))
+            docs[10 * i + k] = " ".join(word() for _ in range(rng.randint(0, 20))) + ". " + text + " " + word()
+    got = leaks(spark, docs, items)
+    expected = brute_leaks(docs, items)
+    assert {k: (r["n_hits"], -r["n_changed"]) for k, r in got.items()} == expected and sound <= set(got)
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, None), (None, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
     assert decontam.find_leaks(edge(spark), items).count() == 0
