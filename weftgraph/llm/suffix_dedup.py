@@ -3,18 +3,24 @@
 Every window of ``LENGTH`` bytes picks an anchor: the least hash of its grams
 of ``GRAM`` bytes, the leftmost among equals. Equal windows pick equal anchors,
 so all windows that can be equal meet in the groups of anchors that occur at
-least twice. A run of windows with one anchor travels as the bytes it covers.
-The contexts of a group are suffix-sorted in two stages: suffixes smaller than
-their successors are sorted directly, the others are induced by a scan of the
-buckets; adjacent common prefixes of ``LENGTH`` or more then show which windows
-are equal. Groups of more than ``GROUP_ROWS`` occurrences are too large for one
-sort and count hashes of their single windows instead, with partial aggregation.
+least twice. A run of windows with one anchor travels as the bytes it covers,
+its context. The contexts of a group are suffix-sorted in two stages: suffixes
+smaller than their successors are sorted directly, the others are induced by a
+scan of the buckets; adjacent common prefixes of ``LENGTH`` or more then show
+which windows are equal.
+
+A group too large for one sort is split by content, and its parts are sorted
+likewise: first by the bytes that all windows share whose anchor lies in the
+same band of ``BAND`` places, then, where that is not enough, by whole windows,
+whose parts hold one distinct context each. Equal windows never part, so the
+sizes that start a split decide nothing about results.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +32,14 @@ LENGTH = 200
 GRAM = 72
 #: Occurrences of an anchor up to which its contexts are sorted together.
 GROUP_ROWS = 20_000
+#: Places of an anchor in its window that the first split keeps together.
+BAND = 16
 #: Windows that are sorted at once, about.
 SORT_WINDOWS = 60_000
+#: Bytes whose anchors are found at once; longer texts go through in overlapping pieces.
+PIECE = 2_000_000
+#: Bytes of contexts that a worker holds to count equal ones.
+HELD_BYTES = 16_000_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240611)
@@ -95,60 +107,149 @@ def anchor_runs(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: i
     return doc[first], start[first] - begins[doc[first]], count, hashes[anchor[first]]
 
 
+def merge_periods(raw: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs to keep and how often each stands one behind the other with the same context, as in periodic text.
+
+    ``at`` are the runs' places in ``raw``.
+    """
+    times = np.ones(len(at), np.int64)
+    if len(at) < 2:
+        return np.ones(len(at), bool), times
+    like = (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + n[:-1])
+    for size in np.unique(n[:-1][like]):
+        k = np.flatnonzero(like & (n[:-1] == size))
+        differ = np.r_[0, np.cumsum(raw[:-size] != raw[size:])]
+        like[k] = differ[at[k] + size + LENGTH - 1] == differ[at[k]]
+    keep = np.r_[True, ~like]
+    first = np.flatnonzero(keep)
+    return keep, np.diff(np.r_[first, len(at)])
+
+
+def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``text, start, n, times, h`` of the anchor runs of ``texts``, some megabytes at once."""
+    k = 0
+    while k < len(texts):
+        if len(texts[k]) > PIECE:  # windows that start in a piece, each piece with the bytes that the last of them covers
+            pieces = [(k, at, texts[k][at : at + PIECE + LENGTH - 1]) for at in range(0, len(texts[k]) - LENGTH + 1, PIECE)]
+            batches = [[x] for x in pieces]
+            k += 1
+        else:
+            part, size = [], 0
+            while k < len(texts) and size + len(texts[k]) <= PIECE:
+                part.append((k, 0, texts[k]))
+                size += len(texts[k])
+                k += 1
+            batches = [part]
+        for part in batches:
+            raw = np.frombuffer(b"".join(x for _, _, x in part), np.uint8)
+            ends = np.cumsum([len(x) for _, _, x in part])
+            doc, start, n, h = anchor_runs(raw, ends)
+            if len(doc):
+                keep, times = merge_periods(raw, doc, start + np.r_[0, ends[:-1]][doc], n, h)
+                doc, start, n, h = (x[keep] for x in (doc, start, n, h))
+                yield np.array([x for x, _, _ in part])[doc], start + np.array([x for _, x, _ in part])[doc], n, times, h
+
+
+RUNS = "row long, h long, start int, n int, times int"
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """``row, h, start, n``: the runs of each text."""
+    """``RUNS`` of each text: ``times`` runs of ``n`` windows follow each other from ``start`` with the same context."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            k, texts = 0, b["text"]
-            while k < len(texts):
-                first, part, size = k, [], 0
-                while k < len(texts) and (not part or size < 1_000_000):
-                    part.append(texts[k].encode())
-                    size += len(part[-1])
-                    k += 1
-                doc, start, n, h = anchor_runs(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(p) for p in part]))
-                yield {"row": np.array(b["row"][first:k], np.int64)[doc], "h": h.view(np.int64), "start": start, "n": n}
+            row = np.array(b["row"], np.int64)
+            for text, start, n, times, h in runs_of([t.encode() for t in b["text"]]):
+                yield {"row": row[text], "h": h.view(np.int64), "start": start, "n": n, "times": times}
+
+    return arrow_map(rows.select("row", "text"), run, RUNS)
+
 
-    return arrow_map(rows.select("row", "text"), run, "row long, h long, start int, n int")
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def _context_hash(c: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True)
+def split_bands(raw: bytes, h: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """``key, start, n`` of the parts of a run by the place of its anchor in the windows, keyed by what all windows of a band share."""
+    context = raw[start : start + n + LENGTH - 1]
+    anchor = int(np.flatnonzero(gram_hashes(np.frombuffer(context, np.uint8), GRAM).view(np.int64) == h)[0])
+    own = h.to_bytes(8, "little", signed=True)
+    k = 0
+    while k < n:
+        band = (anchor - k) // BAND
+        after = min(n, anchor - band * BAND + 1)
+        core = anchor - band * BAND
+        yield _digest(own, bytes([band]), context[core : core + LENGTH - BAND + 1]), start + k, after - k
+        k = after
 
 
-def contexts(candidates: DataFrame) -> DataFrame:
-    """``h, c, context, weight``: bytes of the runs in ``candidates`` (text, runs), equal ones of a batch together."""
+def split_windows(raw: bytes, h: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """``key, start, 1`` of the windows of a run, keyed by their bytes."""
+    own = h.to_bytes(8, "little", signed=True)
+    for k in range(start, start + n):
+        yield _digest(own, raw[k : k + LENGTH]), k, 1
+
+
+def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each text that has runs, with them as arrays."""
+    at = runs.groupBy("row").agg(F.collect_list(F.struct("h", "start", "n", "times")).alias("r"))
+    return texts.join(at.select("row", *(F.col("r")[c].alias(c) for c in ("h", "start", "n", "times"))), "row")
+
+
+def split_runs(held: DataFrame, split: Callable[[bytes, int, int, int], Iterator[tuple[int, int, int]]]) -> DataFrame:
+    """``RUNS`` of the parts of the runs in ``held``; of runs that follow each other, those of the first count for all."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            seen: dict[tuple[int, bytes], int] = {}
-            for text, runs in zip(b["text"], b["runs"], strict=True):
+            for row, text, *lists in zip(b["row"], b["text"], b["h"], b["start"], b["n"], b["times"], strict=True):
                 raw = text.encode()
-                for r in runs:
-                    key = (r["h"], raw[r["start"] : r["start"] + r["n"] + LENGTH - 1])
-                    seen[key] = seen.get(key, 0) + 1
-            yield {"h": [h for h, _ in seen], "c": [_context_hash(c) for _, c in seen], "context": [c for _, c in seen], "weight": list(seen.values())}
+                out: dict[str, list] = {k: [] for k in ("row", "h", "start", "n", "times")}
+                for h, start, n, times in zip(*lists, strict=True):
+                    for part in split(raw, h, start, n):
+                        for k, v in zip(out, (row, *part, times), strict=True):
+                            out[k].append(v)
+                    if len(out["row"]) > 50_000:
+                        yield out
+                        out = {k: [] for k in out}
+                yield out
+
+    return arrow_map(held.select("row", "text", "h", "start", "n", "times"), run, RUNS)
 
-    return arrow_map(candidates.select("text", "runs"), run, "h long, c long, context binary, weight long")
 
+def contexts(held: DataFrame) -> DataFrame:
+    """``row, start, h, c, weight, context``: each run in ``held`` with the digest of its context.
 
-def occurrences(candidates: DataFrame) -> DataFrame:
-    """``row, start, h, c`` of the same runs."""
+    Of equal contexts that a worker meets, the first row carries the bytes and
+    how many runs have them; the others carry neither.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        rows: dict[str, list] = {k: [] for k in ("row", "start", "h", "c", "weight", "context")}
+        seen: dict[tuple[int, int], int] = {}
+        held_bytes = 0
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "start", "h", "c")}
-            for row, text, runs in zip(b["row"], b["text"], b["runs"], strict=True):
+            for row, text, *lists in zip(b["row"], b["text"], b["h"], b["start"], b["n"], b["times"], strict=True):
                 raw = text.encode()
-                for r in runs:
-                    out["row"].append(row)
-                    out["start"].append(r["start"])
-                    out["h"].append(r["h"])
-                    out["c"].append(_context_hash(raw[r["start"] : r["start"] + r["n"] + LENGTH - 1]))
-            yield out
-
-    return arrow_map(candidates.select("row", "text", "runs"), run, "row long, start int, h long, c long")
+                for h, start, n, times in zip(*lists, strict=True):
+                    context = raw[start : start + n + LENGTH - 1]
+                    c = _digest(context)
+                    at = seen.get((h, c))
+                    if at is None:
+                        seen[h, c] = len(rows["row"])
+                        held_bytes += len(context)
+                        weight = times
+                    else:
+                        rows["weight"][at] += times
+                        context = weight = None
+                    for k, v in zip(rows, (row, start, h, c, weight, context), strict=True):
+                        rows[k].append(v)
+                    held_bytes += 40
+                    if held_bytes > HELD_BYTES:
+                        yield rows
+                        rows, seen, held_bytes = {k: [] for k in rows}, {}, 0
+        yield rows
+
+    return arrow_map(held.select("row", "text", "h", "start", "n", "times"), run, "row long, start int, h long, c long, weight long, context binary")
 
 
 def two_stage_sort(raw: bytes, wanted: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -275,22 +376,6 @@ def sort_groups(parts: DataFrame) -> DataFrame:
     return arrow_map(parts.repartition("h").sortWithinPartitions("h"), run, RANGES)
 
 
-def count_windows(parts: DataFrame) -> DataFrame:
-    """``h, c, ranges`` of groups too large to sort: hashes of single windows, counted."""
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            for h, c, context, weight in zip(b["h"], b["c"], b["context"], b["weight"], strict=True):
-                w = gram_hashes(np.frombuffer(context, np.uint8), LENGTH).view(np.int64)
-                n = len(w)
-                yield {"h": [h] * n, "c": [c] * n, "place": range(n), "w": w, "weight": [weight] * n}
-
-    single = arrow_map(parts, run, "h long, c long, place int, w long, weight long")
-    twice = single.groupBy("h", "w").agg(F.sum("weight").alias("t")).where("t > 1").select("h", "w")
-    hit = single.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.sort_array(F.collect_set("place")).alias("p"))
-    return hit.select("h", "c", F.transform("p", lambda x: F.struct(x.alias("lo"), (x + 1).alias("hi"))).alias("ranges"))
-
-
 def with_row_ids(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text`` with a distinct ``row``: doc_id itself, or a stored number where ids repeat or are null."""
     base = docs.select("doc_id", text_or_empty().alias("text"))
@@ -300,50 +385,75 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return materialize(base.withColumn("row", F.monotonically_increasing_id()), "suffix-rows")
 
 
+def repeated_spans(texts: DataFrame, runs: DataFrame, large: DataFrame, group_rows: int) -> DataFrame:
+    """``row, lo, hi``: bytes that the repeated windows of ``runs`` cover; ``large`` (h) are the groups to split."""
+    n_large = large.count()
+    if n_large:
+        few = runs.join(small_side(large, n_large), "h", "left_anti")
+    else:
+        few = runs
+    known = [materialize(contexts(with_runs(texts, few)), "suffix-contexts")]
+    if n_large:
+        many = materialize(runs.join(small_side(large, n_large), "h", "left_semi"), "suffix-large")
+        bands = materialize(split_runs(with_runs(texts, many), split_bands), "suffix-bands")
+        parts = materialize(contexts(with_runs(texts, bands)), "suffix-parts")
+        still = parts.groupBy("h", "c").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > group_rows).select("h")
+        still = materialize(still, "suffix-still")
+        n_still = still.count()
+        known.append(parts.join(small_side(still, n_still), "h", "left_anti").select(*parts.columns) if n_still else parts)
+        if n_still:
+            single = split_runs(with_runs(texts, bands.join(small_side(still, n_still), "h", "left_semi").select(*bands.columns)), split_windows)
+            known.append(materialize(contexts(with_runs(texts, single)), "suffix-single"))
+    spans = []
+    for part in known:
+        found = materialize(sort_groups(part.where("context is not null").select("h", "c", "context", "weight")), "suffix-found")
+        hits = part.select("row", "start", "h", "c").join(found, ["h", "c"]).select("row", "start", F.explode("ranges").alias("r"))
+        spans.append(hits.select("row", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + LENGTH).alias("hi")))
+    whole = runs.where("times > 1").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n") * F.col("times") - 1 + LENGTH).alias("hi"))
+    return functools.reduce(DataFrame.unionByName, spans, whole)
+
+
 def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary`` for each row of ``docs``.
 
     A byte goes if it lies in a string of ``LENGTH`` bytes that starts anywhere
     else too, in the same text or another, judged on the input. Null texts are
     empty; texts under ``LENGTH`` bytes stay whole; rows that repeat are copies
-    of each other; an empty table gives no rows. ``kept`` is null where nothing
-    was removed.
+    of each other; long texts are looked at in pieces of ``PIECE`` bytes, and
+    what travels with a text is one row a run; extra columns are not read,
+    whatever their names; an empty table gives no rows. ``kept`` is null where
+    nothing was removed. ``group_rows`` bounds one sort and has no effect on
+    results.
     """
     rows = with_row_ids(docs)
     facts = materialize(rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256")), "suffix-facts")
-    runs = materialize(anchors(rows), "suffix-runs")
-    counts = runs.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    again = materialize(runs.join(counts, "h").groupBy("row").agg(F.collect_list(F.struct("h", "start", "n", "m")).alias("runs")), "suffix-again")
-    release(runs)
-    texts = rows.select("row", "text").join(small_side(again.select("row"), again.count()), "row", "left_semi")
+    every = materialize(anchors(rows), "suffix-runs")
+    # stored, so that the join below is of two shuffles and a frequent anchor's is split
+    counts = materialize(every.groupBy("h").agg(F.sum("times").alias("m")).where("m > 1"), "suffix-counts")
+    runs = materialize(every.join(counts.select("h"), "h").select(*every.columns), "suffix-again")
+    release(every)
+    mine = materialize(runs.select("row").distinct(), "suffix-rows-again")
+    texts = rows.select("row", "text").join(small_side(mine, mine.count()), "row", "left_semi")
     texts = materialize(texts, "suffix-texts")
-    candidates = materialize(texts.join(again, "row"), "suffix-candidates")
-    release(again, texts)
-    part = lambda rule: candidates.withColumn("runs", F.filter("runs", rule)).where("size(runs) > 0")
-    found = sort_groups(contexts(part(lambda r: r["m"] <= group_rows)))
-    large = part(lambda r: r["m"] > group_rows)
-    if not large.isEmpty():
-        found = found.unionByName(count_windows(materialize(contexts(large), "suffix-large")))
-    found = materialize(found, "suffix-found")
-    hits = occurrences(candidates).join(found, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("start", "ranges")).alias("hits"))
+    spans = repeated_spans(texts, runs, counts.where(F.col("m") > group_rows).select("h"), group_rows)
+    per = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("row", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for row, text, found_in in zip(b["row"], b["text"], b["hits"], strict=True):
+            for row, text, lo, hi in zip(b["row"], b["text"], b["lo"], b["hi"], strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for hit in found_in:
-                    for r in hit["ranges"]:
-                        edge[hit["start"] + r["lo"]] += 1
-                        edge[hit["start"] + r["hi"] - 1 + LENGTH] -= 1
+                edge = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(edge, lo, 1)
+                np.subtract.at(edge, hi, 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = raw[~gone].tobytes()
                 for k, v in zip(out, (row, int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     out[k].append(v)
             yield out
 
-    changed = arrow_map(candidates.select("row", "text").join(hits, "row"), cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    both = texts.join(per.select("row", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")), "row").select("row", "text", "lo", "hi")
+    changed = arrow_map(both, cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     zero = F.lit(0).cast("long")
     return facts.join(changed, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept"
