@@ -120,6 +120,39 @@ def test_suffix_dedup(spark, docs, group_rows):
         assert got[d] == e
 
 
+def test_suffix_dedup_large_groups(spark):
+    """A passage between varying neighbours, split twice, against brute force; equal letters and copies in numbers."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdef ") for _ in range(260))
+    near = lambda: "".join(rng.choice("xy") for _ in range(rng.randint(0, 40)))
+    rows = [(k, near() + passage[: rng.randint(190, 260)] + near()) for k in range(120)] + [(500 + k, "u" * (400 + k) + passage) for k in range(3)]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    for (d, _), e in zip(rows, brute_repeats([t.encode() for _, t in rows]), strict=True):
+        assert got[d] == e
+    rows = [(1, "a" * 5_000_000), (2, "b" + passage), (3, "c" * 199 + "d")]
+    rows += [(4, (passage + "-") * 20_000)] + [(10 + k, passage) for k in range(3_000)]
+    got = {r["doc_id"]: tuple(r)[1:4] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == (5_000_000, 5_000_000, 1) and got[2] == (261, 260, 1) and got[3] == (200, 0, 0)
+    assert got[4] == (261 * 20_000, 261 * 20_000 - 0, 1) and {got[10 + k] for k in range(3_000)} == {(260, 260, 1)}
+
+
+def test_anchor_pieces(monkeypatch):
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (5000, 10, 400, 0, 1999)] + [b"ab" * 1500, b"q" * 3000]
+
+    def windows():
+        found = set()
+        for text, start, n, times, h in suffix_dedup.runs_of(texts):
+            for t, s, k, m, x in zip(text, start, n, times, h, strict=True):
+                found |= {(int(t), int(s) + w, int(x)) for w in range(int(k) * int(m))}
+        return found
+
+    whole = windows()
+    assert {(t, s) for t, s, _ in whole} == {(t, s) for t, x in enumerate(texts) for s in range(len(x) - 199)}
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert windows() == whole
+
+
 def test_suffix_dedup_edges(spark):
     out = suffix_dedup.remove_repeats(edge(spark)).collect()
     assert len(out) == len(EDGE) and {r["n_removed"] for r in out if r["doc_id"] == 4} == {3000}
@@ -150,6 +183,21 @@ def test_records_round_trip(spark, docs, tmp_path):
     assert got[9003] == [2] and len(got) == some.count()
 
 
+def test_records_over_several_files(spark, tmp_path, monkeypatch):
+    """Files of two records: starts follow the order of the files, and only listed files are opened."""
+    monkeypatch.setattr(records, "FILE_RECORDS", 2)
+    docs = spark.createDataFrame([(k // 3 if k < 9 else k, f"text {k} " * (k + 1)) for k in range(25)], "doc_id long, text string")
+    records.write_records(docs, str(tmp_path / "few"), records.default_tokenizer(), shards=2)
+    index = records.with_starts(records.scan_records(spark, str(tmp_path / "few"))).cache()
+    rows = sorted(index.collect(), key=lambda r: r["start"])
+    assert len({r["file"] for r in rows}) >= 12 and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+    some = spark.createDataFrame([(r["doc_id"], r["file"], r["offset"]) for r in rows if r["file"] == rows[5]["file"]], "doc_id long, file string, offset long")
+    for name in {r["file"] for r in rows} - {rows[5]["file"]}:
+        (tmp_path / "few" / name.rsplit("/", 1)[1]).unlink()
+    assert sorted(r["doc_id"] for r in records.read_records(some).collect()) == sorted(r["doc_id"] for r in some.collect())
+
+
 def test_record_damage():
     good = records.frame(records.pack(7, b"\1\0\2\0", True))
     payload, end = records.unframe(good, 0)
@@ -438,6 +486,34 @@ def test_adpcm_and_resampling():
     assert media.resample(x[:0], 8000, 16000).size == 0
 
 
+def test_resampling_in_pieces():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = rng.integers(-32768, 32768, rng.integers(0, 60)).astype(np.int16)
+        cut = np.sort(rng.integers(0, len(x) + 1, rng.integers(0, 5)))
+        hz = [int(v) for v in rng.choice([8000, 11025, 16000, 6000, 48000], 2)]
+        got = list(media.resample_pieces(iter(np.split(x, cut)), *hz))
+        assert np.concatenate([np.zeros(0, np.int16), *got]).tolist() == media.resample(x, *hz).tolist()
+
+
+def test_media_features(monkeypatch, spark):
+    """Stored form and feature against whole arrays, with pieces far shorter than the text."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc \u00e9\u4e00") for _ in range(n)) for n in (0, 1, 5000, 777)]
+    whole = {}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        x = media.resample(media.mulaw_table()[np.frombuffer(payload, np.uint8)], 8000, 16000).astype(int)
+        feature = f"n={len(x)};rms={int(np.sqrt((x * x).sum() // len(x)))};peak={abs(x).max()};zc={((x[1:] < 0) != (x[:-1] < 0)).sum()};pcm={zlib.crc32(x.astype('<i2').tobytes()):08x}"
+        head = b"RIFF" + (4 + 26 + 12 + 8 + len(payload)).to_bytes(4, "little") + b"WAVEfmt \x12\0\0\0" + bytes([7, 0, 1, 0]) + (8000).to_bytes(4, "little") * 2 + bytes([1, 0, 8, 0, 0, 0]) + b"fact\4\0\0\0" + len(payload).to_bytes(4, "little") + b"data" + len(payload).to_bytes(4, "little")
+        whole[k] = (len(head) + len(payload), hashlib.sha256(head + payload).hexdigest(), feature)
+    monkeypatch.setattr(media, "PIECE", 100)
+    assert [media.feature(t.encode().ljust(max(1, -(-len(t.encode()) // 192)) * 192), 7, 8000) for t in texts] == [whole[k][2] for k in whole]
+    got = media.read_media(media.store_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["media_bytes"], r["media_sha256"], r["feature"]) for r in got} == whole
+
+
 def test_media_round_trip(spark, docs):
     both = docs.select("doc_id", "text").unionByName(edge(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
     got = media.read_media(media.store_media(both)).collect()
@@ -465,6 +541,55 @@ def test_quality(spark, docs):
     assert out.count() == docs.count()
 
 
+def brute_posteriors(rows, site_weight=quality.SITE_WEIGHT):
+    """``(host_posterior, path_posterior, p_quality)`` by loops over ``doc_id, host, path, p_doc``: moments, shrinkage, leave-one-out."""
+    logit = lambda p: np.log(p / (1 - p))
+    by = {n: collections.defaultdict(list) for n in (1, 2)}
+    for r in rows:
+        by[1][r["host"],].append(r["p_doc"])
+        by[2][r["host"], r["path"]].append(r["p_doc"])
+    mean = np.mean([r["p_doc"] for r in rows])
+
+    def strength(groups, prior):
+        some = {k: np.array(g) for k, g in groups.items() if len(g) > 1}
+        n = sum(map(len, some.values()))
+        if not some or n <= len(some):
+            return 10.0
+        within = max(sum(((g - g.mean()) ** 2).sum() for g in some.values()) / (n - len(some)), 1e-9)
+        between = max(sum(len(g) * (g.mean() - prior(k)) ** 2 for k, g in some.items()) / n - within * len(some) / n, 1e-9)
+        return min(1000.0, max(1.0, within / between))
+
+    kh = strength(by[1], lambda k: mean)
+    post = {k: (sum(g) + kh * mean) / (len(g) + kh) for k, g in by[1].items()}
+    kp = strength(by[2], lambda k: post[k[:1]])
+    out = []
+    for r in rows:
+        h, p = by[1][r["host"],], by[2][r["host"], r["path"]]
+        host = (sum(h) - r["p_doc"] + kh * mean) / (len(h) - 1 + kh)
+        path = (sum(p) - r["p_doc"] + kp * host) / (len(p) - 1 + kp)
+        odds = logit(r["p_doc"]) + site_weight * (logit(np.clip(path, 1e-3, 1 - 1e-3)) - logit(np.clip(mean, 1e-3, 1 - 1e-3)))
+        out.append((post[r["host"],], path, 1 / (1 + np.exp(-odds))))
+    return out
+
+
+@pytest.mark.parametrize("case", ["data", "sparse"])
+def test_posteriors_against_brute_force(spark, docs, case):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    if case == "sparse":  # a large host, hosts of one document, nulls
+        site = F.when(F.col("doc_id") % 3 == 0, "big").when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("h"), (F.col("doc_id") / 2).cast("int").cast("string")))
+        docs = docs.withColumn("source", site)
+    rows = quality.classify(docs, labels).collect()
+    for r, (host, path, p) in zip(rows, brute_posteriors(rows), strict=True):
+        assert (r["host_posterior"], r["path_posterior"], r["p_quality"]) == pytest.approx((host, path, p), rel=1e-9) and r["keep"] == (r["p_quality"] >= 0.5)
+
+
+def test_training_rows_do_not_depend_on_order(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(k % 6, "word " * (k + 1)) for k in range(60)], "doc_id long, text string")
+    one, two = quality.training_rows(docs.repartition(3), labels), quality.training_rows(docs.orderBy(F.desc("text")), labels)
+    assert len(one[1]) == 6 and (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(edge(spark), labels).count() == len(EDGE)
@@ -576,13 +701,24 @@ def brute_template(text):
 
 
 def brute_leaks(docs, items):
-    out = {}
-    for (d, text), (i, item) in itertools.product(docs.items(), items.items()):
-        (t, tv), (s, sv) = brute_template(text), brute_template(item)
+    """Hits, changed slots and verbatim windows of each diagonal, for items that have template windows (3 at least, or all)."""
+    sought, index, out = {}, collections.defaultdict(list), {}
+    for i, item in items.items():
+        s, sv = brute_template(item)
         windows = [p for p in range(len(s) - 7) if sum(x[0] == "#" for x in s[p : p + 8]) <= 4]
-        for shift in range(-len(s), len(t)):
-            at = [p for p in windows if 0 <= p + shift and t[p + shift : p + shift + 8] == s[p : p + 8]]
-            if not windows or len(at) < min(6, len(windows)):
+        if windows and (len(windows) >= 3 or len(windows) == len(s) - 7):
+            sought[i] = (s, sv, windows)
+            for p in windows:
+                index[tuple(s[p : p + 8])].append((i, p))
+    for d, text in docs.items():
+        t, tv = brute_template(text)
+        diagonals = collections.defaultdict(list)
+        for pos in range(len(t) - 7):
+            for i, p in index.get(tuple(t[pos : pos + 8]), ()):
+                diagonals[i, pos - p].append(p)
+        for (i, shift), at in diagonals.items():
+            s, sv, windows = sought[i]
+            if len(at) < min(6, len(windows)):
                 continue
             covered = sorted({p + k for p in at for k in range(8) if sv[p + k] is not None})
             changed = {k for k in covered if sv[k] != tv[k + shift]}
@@ -630,3 +766,51 @@ def test_leak_edges(spark):
     assert decontam.find_leaks(edge(spark), items).count() == 0
     assert decontam.drop_leaks(edge(spark), items).count() == len(EDGE)
     assert decontam.find_leaks(edge(spark).limit(0), items).count() == 0
+
+
+# --- all operators on odd tables
+
+
+def clashing(spark):
+    """Rows of ``EDGE`` with an extra column of each name that a result or an inner step uses."""
+    names = "row kept runs spans host path template component_id node key h c media pcm payload start shard file label size copies rate target item_id pos digest p".split()
+    df = edge(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    return df.select("*", *(F.lit("clash").alias(n) for n in names))
+
+
+def test_clashing_columns(spark):
+    docs = clashing(spark)
+    items = spark.createDataFrame([(1, "one two three four five six", "x", "y")], "item_id long, text string, doc_id string, h string")
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (3, 0, 0, "y")], "doc_id long, quality int, toxic int, text string")
+    plain = edge(spark)
+    for of in (secrets.scan_secrets, suffix_dedup.remove_repeats, near_dedup.near_duplicates, media.store_media, lambda d: records.token_records(d).select("doc_id", "start", "n_tokens"), lambda d: quality.classify(d, labels), lambda d: decontam.find_leaks(d, items)):
+        assert sorted(map(repr, of(docs).collect())) == sorted(map(repr, of(plain).collect()))
+    for of in (near_dedup.keep_one, mixing.mix, lambda d: quality.keep_good(d, labels), lambda d: decontam.drop_leaks(d, items)):
+        assert of(docs).columns == docs.columns and {r["h"] for r in of(docs).collect()} <= {"clash"}
+    pages = spark.createDataFrame([(1, "http://a/b", "<p>x", "1", "2")], "page_id long, url string, html string, host string, template string")
+    assert [r["text"] for r in html_extract.extract(pages).collect()] == ["x"]
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", 1)], "conv_id long, turn long, role string, text string, segment string, seq long")
+    assert chat.parse_conversations(chat.format_conversations(turns)).count() == 1
+
+
+def test_very_long_text(spark):
+    """A text of 12 MB through every operator."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(2_000_000))
+    item = "Tom has 12 apples and the old farmer counts every wooden fence post near the river bank"
+    rows = [(1, long + " password=abcdefghijklmnop " + item, "s", "en"), (2, item, "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(2)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    n = len(rows[0][1])
+    assert {r["doc_id"]: len(r["spans"]) for r in secrets.scan_secrets(docs).collect()}[1] >= 1
+    assert {r["doc_id"]: r["n_bytes"] for r in suffix_dedup.remove_repeats(docs).drop("kept").collect()}[1] == n
+    assert {r["doc_id"]: r["n_tokens"] > 0 for r in records.token_records(docs).collect()} == {1: True, 2: True}
+    assert {r["doc_id"]: r["kept"] for r in near_dedup.near_duplicates(docs).collect()} == {1: True, 2: True}
+    assert {r["doc_id"]: r["payload_bytes"] for r in media.read_media(media.store_media(docs)).collect()}[1] == -(-n // 192) * 192
+    assert {(r["doc_id"], r["n_changed"]) for r in decontam.find_leaks(docs, spark.createDataFrame([(7, item.replace("Tom", "Ann").replace("12", "3"))], "item_id long, text string")).collect()} == {(1, 2), (2, 2)}
+    assert quality.classify(docs, labels).count() == 2 and mixing.copies(docs).count() == 2
+    page = f"<body><div>{'<p>' + long[: 2_000_000] + '</p>'}</div></body>"
+    assert html_extract.extract(spark.createDataFrame([(1, "http://a/b", page)], "page_id long, url string, html string")).head()["n_chars"] == len(long[:2_000_000].strip())
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    assert chat.parse_conversations(chat.format_conversations(turns)).head()["n_turns"] == 2

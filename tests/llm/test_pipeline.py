@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import random
 import zlib
 
 import numpy as np
 
 import corpus_pipeline
-from weftgraph.llm import decontam, mixing, near_dedup, quality, records
+from weftgraph.llm import near_dedup, quality, records
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_pipeline(spark):
+    """Each stage by loops in this process: posteriors, shingle sets at 80 %, template windows, shares, whole-text encoding."""
+    from test_operators import WORDS, brute_components, brute_leaks, brute_posteriors, brute_targets
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ids = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
-    left = docs.where(docs.doc_id.isin(list(ids))).cache()
-    ids = {r["doc_id"] for r in near_dedup.near_duplicates(left).where("kept").collect()}
-    left = left.where(docs.doc_id.isin(list(ids))).cache()
-    gone = {r["doc_id"] for r in decontam.find_leaks(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    left = left.where(~docs.doc_id.isin(list(gone)))
+    scored = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    good = {r["doc_id"] for r, (_, _, p) in zip(scored, brute_posteriors(scored), strict=True) if p >= 0.5}
+    left = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in good}
+    component = brute_components({d: r["text"] or "" for d, r in left.items()}, 80)
+    left = {d: r for d, r in left.items() if component[d][1] == d}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    gone = {d for d, _ in brute_leaks({d: r["text"] or "" for d, r in left.items()}, items)}
+    left = {d: r for d, r in left.items() if d not in gone}
+    size = {d: len(WORDS.findall(r["text"] or "")) for d, r in left.items()}
+    per = collections.Counter()
+    for d, r in left.items():
+        per[r["source"]] += size[d]
+    targets = brute_targets(per)
     tok = Tokenizer.from_file(records.default_tokenizer())
     expected = []
-    for r in sorted(mixing.copies(left).collect(), key=lambda r: r["doc_id"]):
-        t = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, records.END_ID]
-        expected += [(r["doc_id"], len(t), zlib.crc32(np.array(t, "<u4").tobytes()))] * r["copies"]
+    for d in sorted(left):
+        rate = min(3.0, targets[left[d]["source"]] / per[left[d]["source"]])
+        draw = int(hashlib.md5(f"{d}:mix-1".encode()).hexdigest()[:13], 16) / 2**52
+        ids = [*tok.encode(left[d]["text"] or "", add_special_tokens=False).ids, records.END_ID]
+        expected += [(d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] * (int(rate) + (draw < rate - int(rate)))
     got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == expected
     assert [r["start"] for r in got] == np.cumsum([0, *(n for _, n, _ in expected)])[:-1].tolist()

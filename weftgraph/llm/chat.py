@@ -109,6 +109,9 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
     list of parts instead of ``text``. Null text is empty, a null role is an
     empty role, rows with a null conv_id form one conversation. Order: turn
     (null first), then role and text, so ties and repeated rows have one result.
+    Turns of any length and conversations of any number of turns are streamed,
+    a turn at a time; extra columns are not read, whatever their names; an
+    empty table gives no rows.
     """
     content = parts_col or "text"
     base = turns.select("conv_id", "turn", "role", F.col(content).alias("text"))
@@ -170,7 +173,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_conversations(materialize(format_conversations(turns), "chat"))
 
 
-_ALTERNATIVES = "|".join(f"({re.escape(c[0])})({re.escape(c[1:])})" for c in CONTROL)
 _REST = "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == "<")
 _REST_SQ = "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == "[")
 ORACLE = rf"""
@@ -186,4 +188,3 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   (sum(n + len(role) + {len(TURN) + len(BODY) + len(END)}) + {len(BOS)})::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-del _ALTERNATIVES

@@ -57,8 +57,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 1) -> int:
-    """Number of partitions of about ``target_bytes`` of storage each."""
-    return max(least, min(1_000_000, -(-estimated_bytes(df) // target_bytes)))
+    """Number of partitions of about ``target_bytes`` of storage each; the session's own number where the size is unknown."""
+    size = estimated_bytes(df)
+    if size >= 2**62:  # Catalyst's stand-in for a size that it does not know
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(1_000_000, -(-size // target_bytes)))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ binary column; ``read_media`` decodes the stored bytes again.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -96,6 +97,45 @@ def resample(pcm: np.ndarray, from_hz: int, to_hz: int) -> np.ndarray:
     return ((x[left] * (to_hz - part) + x[right] * part) // to_hz).astype(np.int16)
 
 
+#: Samples that are decoded and resampled at once.
+PIECE = 1 << 18
+
+
+def pcm_pieces(tag: int, payload: bytes, block_align: int = 1) -> Iterator[np.ndarray]:
+    """PCM of ``payload`` in order, about ``PIECE`` samples at once."""
+    step = max(1, PIECE // (2 * block_align)) * block_align if tag == ADPCM_TAG else PIECE
+    for k in range(0, len(payload), step):
+        yield to_pcm(tag, payload[k : k + step], block_align)
+
+
+def resample_pieces(pieces: Iterator[np.ndarray], from_hz: int, to_hz: int) -> Iterator[np.ndarray]:
+    """``resample`` of the pieces as one signal, holding one piece and what the next samples need of the one before."""
+    if from_hz == to_hz:
+        yield from pieces
+        return
+    held, base, made = np.zeros(0, np.int64), 0, 0  # held starts at sample ``base``; ``made`` samples are out
+
+    def upto(n: int) -> np.ndarray:
+        at = np.arange(made, n, dtype=np.int64) * from_hz
+        left, part = at // to_hz - base, at % to_hz
+        right = np.minimum(left + 1, len(held) - 1)
+        return ((held[left] * (to_hz - part) + held[right] * part) // to_hz).astype(np.int16)
+
+    for piece in pieces:
+        held = np.concatenate([held, piece.astype(np.int64)])
+        last = base + len(held) - 1
+        # those whose right neighbour is here and that the samples so far are long enough for
+        n = min(-(-last * to_hz // from_hz), (last + 1) * to_hz // from_hz)
+        if n > made:
+            yield upto(n)
+            made = n
+            drop = min(made * from_hz // to_hz, last) - base
+            held, base = held[drop:], base + drop
+    n = (base + len(held)) * to_hz // from_hz
+    if n > made:
+        yield upto(n)
+
+
 def wave(payload: bytes, tag: int = MULAW_TAG, hz: int = TELEPHONE_HZ, block_align: int = 1, bits: int = 8) -> bytes:
     """A mono WAVE file around ``payload``; an odd payload gets the format's pad byte."""
     fmt = struct.pack("<HHIIHHH", tag, 1, hz, hz * block_align, block_align, bits, 0)
@@ -141,7 +181,7 @@ def decode_media(df: DataFrame, to_hz: int = 16_000, media_col: str = "media") -
                     pcm.append(None)
                     continue
                 tag, hz, align, payload = unwave(m)
-                pcm.append(resample(to_pcm(tag, payload, align), hz, to_hz).astype("<i2").tobytes())
+                pcm.append(b"".join(x.astype("<i2").tobytes() for x in resample_pieces(pcm_pieces(tag, payload, align), hz, to_hz)))
             yield {**b, "pcm": pcm, "pcm_hz": [to_hz] * len(pcm)}
 
     base = df.drop("pcm", "pcm_hz")
@@ -156,7 +196,10 @@ def pad(raw: bytes, frame: int = FRAME) -> bytes:
 def store_media(docs: DataFrame, frame: int = FRAME) -> DataFrame:
     """``doc_id, n_bytes, media``: each whole text's UTF-8 as a mu-law WAVE file.
 
-    Null and empty texts give one frame of spaces. Rows that repeat are kept.
+    Null and empty texts give one frame of spaces; rows that repeat are kept;
+    a text of any length is one file, held a few times in memory (its limit is
+    the format's 4 GB); extra columns are not read, whatever their names; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -167,29 +210,38 @@ def store_media(docs: DataFrame, frame: int = FRAME) -> DataFrame:
     return arrow_map(docs.select("doc_id", text_or_empty().alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
-def feature(payload: bytes, tag: int, hz: int, to_hz: int = 16_000) -> str:
-    """Loudness, peak, sign changes and a checksum of the resampled PCM."""
-    pcm = resample(to_pcm(tag, payload), hz, to_hz)
-    x = pcm.astype(np.int64)
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    rms = int(np.sqrt((x * x).sum() // max(1, len(x))))
-    return f"n={len(x)};rms={rms};peak={int(np.abs(x).max(initial=0))};zc={changes};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+def feature(payload: bytes, tag: int, hz: int, to_hz: int = 16_000, block_align: int = 1) -> str:
+    """Loudness, peak, sign changes and a checksum of the resampled PCM, summed up piece by piece."""
+    n = squares = peak = changes = crc = 0
+    negative: bool | None = None
+    for pcm in resample_pieces(pcm_pieces(tag, payload, block_align), hz, to_hz):
+        if not len(pcm):
+            continue
+        x = pcm.astype(np.int64)
+        below = x < 0
+        changes += int(np.count_nonzero(below[1:] != below[:-1])) + (negative is not None and bool(below[0]) != negative)
+        negative = bool(below[-1])
+        n += len(x)
+        squares += int((x * x).sum())
+        peak = max(peak, int(np.abs(x).max()))
+        crc = zlib.crc32(pcm.astype("<i2").tobytes(), crc)
+    return f"n={n};rms={math.isqrt(squares // max(1, n))};peak={peak};zc={changes};pcm={crc:08x}"
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Digests and the feature of stored media, all from the bytes read back."""
+    """Digests and the feature of stored media, all from the bytes read back; long media are decoded in pieces."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for m in b["media"]:
-                tag, hz, _, payload = unwave(m)
+                tag, hz, align, payload = unwave(m)
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-16:]))
                 out["media_bytes"].append(len(m))
                 out["media_sha256"].append(hashlib.sha256(m).hexdigest())
-                out["feature"].append(feature(payload, tag, hz))
+                out["feature"].append(feature(payload, tag, hz, block_align=align))
             yield {"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], **out}
 
     return arrow_map(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -260,14 +260,15 @@ def prefix_pairs(labelled: DataFrame, texts: DataFrame, percent: int = PERCENT)
     label are met by those of other labels only.
     """
     rows = materialize(_shingle_rows(texts.join(labelled.select("node"), "node", "left_semi")), "near-shingles")
-    known = rows.groupBy("s").agg(F.count("*").alias("df"))
+    known = materialize(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "near-frequent")
     order = Window.partitionBy("node").orderBy("df", "s")
-    placed = rows.join(known, "s").withColumn("place", F.row_number().over(order) - 1)
+    placed = rows.join(known, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", F.row_number().over(order) - 1)
     front = placed.where(F.col("df") > 1).where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size"))
     front = materialize(front.join(labelled, "node").select("s", "node", "label", "size", "place"), "near-front")
     most = front.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels"))
-    most = most.where("labels > 1").select("s", F.col("m.label").alias("most"))
-    x = front.join(most, "s").where("label <> most").drop("most").alias("x")
+    # stored, so that the joins are of two shuffles each and a frequent shingle's rows are split
+    most = materialize(most.where("labels > 1").select("s", F.col("m.label").alias("most")), "near-most")
+    x = materialize(front.join(most, "s").where("label <> most").select(*front.columns), "near-minor").alias("x")
     y = front.alias("y")
     total = F.col("x.size") + F.col("y.size")
     able = (100 + percent) * F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= percent * total
@@ -283,7 +284,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     least these nodes.
     """
     keys = index_keys(nodes, percent)
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
     shared = materialize(keys.join(counts, "key"), "near-keys")
     company = materialize(shared.groupBy("node").agg(F.sum("n").alias("company")), "near-company")
     n_nodes = company.count()
@@ -320,7 +321,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A null text is empty; an empty set links with nothing. Equal sets are one
     node, named by its least doc_id. Rows without doc_id link with nothing and
     are kept, with a null component; rows that repeat a doc_id get the same
-    result and stand or fall together. An empty table gives no rows.
+    result and stand or fall together; texts of any length are read whole;
+    extra columns are not read, whatever their names. An empty table gives no
+    rows.
     """
     rows = materialize(sketches(docs), "near-sketches")
     known = rows.where("set_key is not null and doc_id is not null")
@@ -347,3 +350,19 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All links of the table by an inverted index of the shingles, without signatures; components by labels that spread.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+n AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+r AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS meet FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * meet >= 85 * (x.n + y.n - meet)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS label FROM n UNION SELECT e.a, reach.label FROM reach JOIN e ON e.b = reach.doc_id),
+m AS (SELECT doc_id, min(label) AS component_id FROM reach GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m USING (doc_id)
+"""

@@ -79,13 +79,15 @@ def feature_table(docs: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents, chosen by a hash of doc_id.
 
-    A doc_id that is labelled twice counts with its lower label, a document
-    that repeats counts once.
+    A doc_id that is labelled twice counts with its lower label; of several
+    texts under one doc_id the one with the least features counts, so the model
+    does not depend on order and no more than ``rows`` rows reach the driver.
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.select("doc_id", F.lit("").alias("host"), F.lit("").alias("path"), "text").join(F.broadcast(lab), "doc_id", "left_semi")
-    got = feature_table(got).join(F.broadcast(lab), "doc_id").select("doc_id", "x", "quality").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    one = feature_table(got).groupBy("doc_id").agg(F.min("x").alias("x"))
+    got = one.join(F.broadcast(lab), "doc_id").select("doc_id", "x", "quality").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     return x, got["quality"].to_numpy(float)
 
@@ -129,10 +131,6 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs.select("doc_id", "host", "path", text_or_empty().alias("text")), run, "doc_id long, host string, path string, p double")
 
 
-def _shrunk(groups: DataFrame, prior: Column) -> Column:
-    return (F.col("s") + F.col("k") * prior) / (F.col("n") + F.col("k"))
-
-
 def _strength(groups: DataFrame, prior: str) -> float:
     """Pseudo-count by the method of moments: spread within groups over spread between them, within 1 to 1000."""
     r = groups.where("n > 1").agg(
@@ -154,8 +152,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     ``host`` defaults to ``source`` and ``path`` to ``lang``; for web pages pass
     parts of the URL. Null hosts and paths are groups of their own, null texts
     count as empty, without labels of both kinds every document has the same
-    score, and rows that repeat get the same result each. An empty table gives
-    no rows.
+    score, rows that repeat get the same result each, a text of any length is
+    read whole, and columns of ``docs`` named like the result's are not read.
+    An empty table gives no rows.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path

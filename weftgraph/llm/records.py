@@ -28,7 +28,9 @@ from .common import arrow_map, fresh_path, materialize, partitions_for, table, t
 #: Id appended to each document.
 END_ID = 2
 #: Estimated bytes of input storage for one output file; the estimate is low by about half, since text outweighs the other columns.
-SHARD_BYTES = 5_000_000
+SHARD_BYTES = 20_000_000
+#: Records of one file at most: a reader holds a whole file, and range partitions may be larger than planned.
+FILE_RECORDS = 20_000
 #: Distinct words whose ids a worker keeps, about.
 MEMO_WORDS = 1_000_000
 MEMO_CHARS = 40
@@ -182,7 +184,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     """Tokenize ``docs`` (doc_id, text) into record files under ``path``, in ascending doc_id over files and within them.
 
     Null texts are empty (the end id alone); a null doc_id comes first; rows
-    that repeat a doc_id are all written, ordered by text.
+    that repeat a doc_id are all written, ordered by text, and may lie in
+    several files; a text of any length is one record; extra columns are not
+    read, whatever their names; an empty table gives no records.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -191,12 +195,19 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         for b in batches:
             yield {"frame": [frame(pack(d, ids + end, enc.narrow))[:-1] for d, ids in zip(b["doc_id"], enc.encode(b["text"]), strict=True)]}
 
-    base = docs.select("doc_id", text_or_empty().alias("text"))
-    n = shards or partitions_for(base, SHARD_BYTES)
-    ordered = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    base = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("nth"))
+    n = shards or partitions_for(docs.select("doc_id", "text"), SHARD_BYTES)
+    # rows of one doc_id may be many: the front of the text and a number of the row part them in the same order
+    ordered = base.repartitionByRange(n, "doc_id", F.substring("text", 1, 32), "nth").select("doc_id", "text").sortWithinPartitions("doc_id", "text")
     frames = arrow_map(ordered, run, "frame binary")
     # the text writer ends each row with the last byte of the frame
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _place(name: str) -> int:
+    """Order of a file among those of a folder: its task's number, then its number within the task."""
+    part, nth = re.search(r"part-(\d+)(?:.*-c(\d+))?", name.rsplit("/", 1)[1]).groups()
+    return int(part) << 32 | int(nth or 0)
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -205,7 +216,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
-                shard = int(re.search(r"part-(\d+)", name.rsplit("/", 1)[1])[1])
+                shard = _place(name)
                 rows: dict[str, list] = {k: [] for k in ("doc_id", "shard", "file", "offset", "length", "start_in_shard", "n_tokens", "ids_crc32")}
                 at = start = 0
                 while at < len(data):
@@ -217,7 +228,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
                 yield rows
 
     files = spark.read.format("binaryFile").load(path).select("path", F.expr("content"))
-    return arrow_map(files, run, "doc_id long, shard int, file string, offset long, length long, start_in_shard long, n_tokens long, ids_crc32 long")
+    return arrow_map(files, run, "doc_id long, shard long, file string, offset long, length long, start_in_shard long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -229,22 +240,28 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """``doc_id, ids`` of the records that ``index`` lists (a shuffled or filtered index reads only their files)."""
+    """``doc_id, ids`` of the records that ``index`` lists, in any order or selection.
+
+    Only the listed files are opened (their names, not their records, go
+    through the driver, as Spark's own listing of files does), and only the
+    listed offsets are decoded. An empty index gives no rows.
+    """
     spark = index.sparkSession
     wanted = index.select("file", "offset")
-    root = index.select("file").limit(1).collect()
-    if not root:
+    names = [r["file"] for r in wanted.select("file").distinct().collect()]
+    if not names:
         return spark.createDataFrame([], "doc_id long, ids array<long>")
-    files = spark.read.format("binaryFile").load(root[0]["file"].rsplit("/", 1)[0]).select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
     per = wanted.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for data, offsets in zip(b["content"], b["offsets"], strict=True):
-                got = [unpack(unframe(data, at)[0]) for at in offsets]
-                yield {"doc_id": [d for d, _ in got], "ids": [ids.tolist() for _, ids in got]}
+                for k in range(0, len(offsets), 1000):
+                    got = [unpack(unframe(data, at)[0]) for at in offsets[k : k + 1000]]
+                    yield {"doc_id": [d for d, _ in got], "ids": [ids.tolist() for _, ids in got]}
 
-    return arrow_map(files.join(per, "file").select("content", "offsets"), run, "doc_id long, ids array<long>")
+    return arrow_map(files.join(per.hint("shuffle_hash"), "file").select("content", "offsets"), run, "doc_id long, ids array<long>")
 
 
 def token_records(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:

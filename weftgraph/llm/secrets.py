@@ -1,11 +1,12 @@
 """Secret scans with a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams
-that every match must hold. Each partition of documents is an index segment:
-postings of the trigrams that any rule needs are built over the segment,
-intersected and united as the query says, and only candidates are verified with
-the regular expression. A rule without mandatory trigrams scans its whole
-segment. Segments need no shuffle, so a lost executor costs its segments only.
+that every match must hold. Slices of about 2 MB of a partition are index
+segments: postings of the trigrams that any rule needs are built over the
+segment (each text is searched for each of them), intersected and united as the
+query says, and only candidates are verified with the regular expression. A
+rule without mandatory trigrams scans its whole segment. Segments need no
+shuffle, so a lost executor costs its segments only.
 """
 
 from __future__ import annotations
@@ -149,7 +150,9 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """``doc_id, spans array<struct<kind, start, end>>``, one row per row of ``docs``.
 
     Spans are in code points, end exclusive, by start and then in the order of
-    the rules. A null text is empty and has no spans.
+    the rules. A null text is empty and has no spans; rows that repeat get the
+    same spans each; a text of any length is searched whole, as one row; extra
+    columns are not read, whatever their names; an empty table gives no rows.
     """
     order = [r[0] for r in rules]
 
@@ -182,3 +185,42 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", text), ",").alias("spans"),
     )
+
+
+def _sql_pattern(pattern: str, flags: int) -> str:
+    """The pattern for an engine whose case folding knows more letters than ASCII: both cases, letter by letter."""
+    if not flags & re.I:
+        return pattern
+    out, i, bracket = "", 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            width = 4 if pattern[i + 1] == "x" else 2
+            out, i = out + pattern[i : i + width], i + width
+            continue
+        bracket = c == "[" or bracket and c != "]"
+        out += f"[{c.upper()}{c.lower()}]" if c.isalpha() and not bracket else c
+        i += 1
+    return out
+
+
+def oracle(rules=RULES) -> str:
+    """SQL of ``op3_secret_scan``: all matches of each rule, placed by what stands between them."""
+    parts = []
+    for k, (kind, pattern, flags, group, least) in enumerate(rules):
+        p = _sql_pattern(pattern, flags).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, row, {k} AS k, '{kind}' AS kind, unnest(regexp_split_to_array(t, '{p}')[:-2]) AS gap, unnest(regexp_extract_all(t, '{p}')) AS found, "
+            f"unnest(regexp_extract_all(t, '{p}', {group})) AS part, {least} AS least, unnest(range(len(regexp_extract_all(t, '{p}')))) AS nth FROM d"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT *, sum(len(gap) + len(found)) OVER (PARTITION BY row, k ORDER BY nth) AS e FROM m),
+s AS (SELECT row, k, kind, (e - len(found))::BIGINT AS b, e::BIGINT AS e FROM p WHERE len(part) >= least),
+g AS (SELECT row, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < {BASE}) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) AS spans FROM s GROUP BY row)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
