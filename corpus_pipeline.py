@@ -20,9 +20,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Similarity of five-word shingles, in percent, from which the pipeline links documents (the query op7 has 85 by its contract).
+NEAR_PERCENT = 80
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
