@@ -40,11 +40,48 @@ def impact_scores(reached: DataFrame, nodes: DataFrame, origins: DataFrame, weig
     return out.select("origin", F.coalesce("affected", F.lit(0).cast("long")).alias("affected"), F.round(raw, 2).alias("score"), severity(raw).alias("severity"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, betweenness``: exact, directed, over (n-1)(n-2). Brandes' counts for all sources at once, level by level, then back."""
+def impact_of_all(nodes: DataFrame, edges: DataFrame, weights: dict[str, int] = config.TYPE_WEIGHTS, direction: str = "down") -> DataFrame:
+    """``impact_scores`` of every node over everything that it reaches.
+
+    Nodes are numbered, so the reached pairs, the state of the rounds, are
+    pairs of longs; their number is the graph's reachability, linear in the
+    nodes where each reaches a bounded neighbourhood. For a few origins use
+    ``traverse.bfs_levels`` and ``impact_scores``.
+    """
+    ids = materialize(nodes.select("id", "type").dropDuplicates(["id"]).select("id", type_weight(F.col("type"), weights).cast("long").alias("w"), F.monotonically_increasing_id().alias("k")), "impact-ids")
+    a, b = ("src", "dst") if direction == "down" else ("dst", "src")
+    hop = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a <> _b").distinct()
+    hop = hop.join(ids.select(F.col("id").alias("_a"), F.col("k").alias("s")), "_a").join(ids.select(F.col("id").alias("_b"), F.col("k").alias("d"), "w"), "_b")
+    hop = materialize(hop.select("s", "d", "w"), "impact-edges")
+    seen = frontier = hop.select(F.col("s").alias("o"), F.col("d").alias("n"), "w")
+    while True:
+        step = frontier.join(hop.select("s", "d", F.col("w").alias("x")), F.col("n") == F.col("s")).where("o <> d").select("o", F.col("d").alias("n"), F.col("x").alias("w")).distinct()
+        frontier = materialize(step.join(seen.select("o", "n"), ["o", "n"], "left_anti"), "impact")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    per = seen.groupBy(F.col("o").alias("k")).agg(F.count("*").alias("affected"), F.sum("w").alias("w"))
+    out = ids.select("id", "k").join(per, "k", "left")
+    raw = F.coalesce(F.col("w") / (F.col("affected") * 5) * 100, F.lit(0.0))
+    return out.select(F.col("id").alias("origin"), F.coalesce("affected", F.lit(0).cast("long")).alias("affected"), F.round(raw, 2).alias("score"), severity(raw).alias("severity"))
+
+
+def sampled(nodes: DataFrame, sources: int | None) -> DataFrame:
+    """All nodes, or the ``sources`` first by a hash of their id: the origins of a centrality."""
+    return nodes if sources is None else nodes.orderBy(F.xxhash64("id"), "id").limit(sources)
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: int | None = None) -> DataFrame:
+    """``node, betweenness``: directed, over (n-1)(n-2). Brandes' counts for all sources at once, level by level, then back.
+
+    Exact by default: nodes times nodes of state, for graphs of that size. With
+    ``sources`` (an extension) the paths of so many origins are counted and
+    scaled up, with nodes times ``sources`` of state.
+    """
     hop = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "btw")
     n = nodes.count()
-    levels = [materialize(nodes.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(1.0).alias("paths")), "btw")]
+    origins = sampled(nodes, sources)
+    levels = [materialize(origins.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(1.0).alias("paths")), "btw")]
     seen = levels[0].select("origin", "node")
     while True:
         step = levels[-1].join(hop, F.col("node") == F.col("src")).groupBy("origin", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -60,17 +97,20 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         later = materialize(lower.join(through, ["origin", "node"]).groupBy("origin", "node").agg(F.sum(F.col("paths") * F.col("unit")).alias("share")), "btw")
         total = later if total is None else total.unionByName(later)
     base = nodes.select(F.col("id").alias("node"))
-    scale = (n - 1) * (n - 2)
+    scale = (n - 1) * (n - 2) * (1.0 if sources is None else min(1.0, sources / max(1, n)))
     if total is None or scale <= 0:
         return base.withColumn("betweenness", F.lit(0.0))
     per = total.where("origin <> node").groupBy("node").agg((F.sum("share") / scale).alias("betweenness"))
     return base.join(per, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, closeness``: from incoming distances, scaled by the share of nodes that reach it."""
-    n = nodes.count()
-    far = traverse.bfs_levels(edges, nodes).where("level > 0").groupBy("node").agg(F.count("*").alias("r"), F.sum("level").alias("d"))
+def closeness(edges: DataFrame, nodes: DataFrame, sources: int | None = None) -> DataFrame:
+    """``node, closeness``: from incoming distances, scaled by the share of nodes that reach it.
+
+    Exact by default; with ``sources`` (an extension) from the distances of so many origins.
+    """
+    n = nodes.count() if sources is None else sources + 1
+    far = traverse.bfs_levels(edges, sampled(nodes, sources)).where("level > 0").groupBy("node").agg(F.count("*").alias("r"), F.sum("level").alias("d"))
     out = nodes.select(F.col("id").alias("node")).join(far, "node", "left")
     return out.select("node", F.coalesce(F.col("r") / F.lit(max(1, n - 1)) * F.col("r") / F.col("d"), F.lit(0.0)).alias("closeness"))
 

@@ -26,22 +26,22 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def missing_relationships(nodes: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
-    """``issue, severity, node_id, type``: nodes without the neighbour or relation that their type should have."""
+    """``issue, severity, node_id, type``: nodes without the neighbour or relation that their type should have.
+
+    One pass: every edge tells both its ends which rules it meets, and flags
+    are combined a node, whatever the number of rules.
+    """
     types = nodes.select("id", "type")
-    near_out = edges.join(types.select(F.col("id").alias("dst"), F.col("type").alias("near")), "dst", "left").select(F.col("src").alias("id"), "relation", "near")
-    has_in = edges.select(F.col("dst").alias("id"))
-    out = None
-    for issue, of, how, wanted, severity in rules:
-        own = types.where(F.col("type").isin(list(of)))
-        if how == "predecessor":
-            found = has_in
-        elif how == "relation":
-            found = near_out.where(F.col("relation").isin(list(wanted)))
-        else:
-            found = near_out.where(F.col("near").isin(list(wanted)))
-        part = own.join(found, "id", "left_anti").select(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.col("id").alias("node_id"), "type")
-        out = part if out is None else out.unionByName(part)
-    return out
+    near = edges.join(types.select(F.col("id").alias("dst"), F.col("type").alias("near")), "dst", "left")
+    ways = {"relation": F.col("relation"), "successor": F.col("near")}
+    out = F.array(*(F.lit(False) if how == "predecessor" else F.coalesce(ways[how].isin(list(wanted)), F.lit(False)) for _, _, how, wanted, _ in rules))
+    into = F.array(*(F.lit(how == "predecessor") for _, _, how, _, _ in rules))
+    ends = near.select(F.explode(F.array(F.struct(F.col("src").alias("id"), out.alias("ok")), F.struct(F.col("dst").alias("id"), into.alias("ok")))).alias("e")).select("e.id", "e.ok")
+    met = ends.groupBy("id").agg(*(F.max(F.col("ok")[k]).alias(f"ok{k}") for k in range(len(rules))))
+    own = types.where(F.col("type").isin([t for _, of, _, _, _ in rules for t in of])).join(met, "id", "left")
+    issues = [F.when(F.col("type").isin(list(of)) & ~F.coalesce(F.col(f"ok{k}"), F.lit(False)), F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"))) for k, (issue, of, _, _, severity) in enumerate(rules)]
+    found = own.select(F.col("id").alias("node_id"), "type", F.explode(F.array_compact(F.array(*issues))).alias("i"))
+    return found.select("i.issue", "i.severity", "node_id", "type")
 
 
 def completeness(nodes: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:

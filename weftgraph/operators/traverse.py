@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..storage import materialize
+from ..storage import materialize, release
 
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -66,32 +66,34 @@ def weighted_distances(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """``origin, node, cost, path``: cheapest paths by Bellman-Ford rounds; ties go to the least path."""
     hop = edges.groupBy("src", "dst").agg(F.min(path_cost(F.col("confidence"))).alias("w"))
     best = materialize(origins.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("cost"), F.array("id").alias("path")), "dist")
-    changed = best
+    changed = table = best
     while True:
         step = changed.join(hop, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
         both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
         new = both.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "path"))).alias("o"))
         new = materialize(new.select("origin", "node", "b.cost", "b.path", (F.col("o").isNull() | (F.col("b") < F.col("o"))).alias("is_new")), "dist")
+        release(table)
+        table = new
         changed = new.where("is_new").drop("is_new")
         best = new.drop("is_new")
         if changed.isEmpty():
             return best
 
 
-def simple_paths(edges: DataFrame, origins: DataFrame, max_length: int, target: Column | None = None, keep: str = "all") -> DataFrame:
-    """``path, hops`` of simple paths from ``origins`` of at most ``max_length`` edges.
+def simple_paths(edges: DataFrame, origins: DataFrame, max_length: int, target: Column | None = None) -> DataFrame:
+    """``path, hops`` of simple paths from ``origins`` of at most ``max_length`` edges, as many as there are; none for a length under 1.
 
-    With ``target`` (a condition on ``node``) paths end at their first arrival
+    Paths grow with the graph's fan-out to the power of the length: callers
+    bound the length or the origins. With ``target`` (a condition on ``node``) paths end at their first arrival
     there and only these are returned.
     """
     hop = edges.select("src", "dst").distinct()
     frontier = origins.select(F.col("id").alias("node"), F.array("id").alias("path"))
-    found = None
-    for _ in range(min(max_length, config.HARD_DEPTH)):
+    found = frontier.limit(0)
+    for _ in range(max_length):
         step = frontier.join(hop, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         step = materialize(step.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")), "paths")
-        hit = step if target is None else step.where(target)
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(step if target is None else step.where(target))
         frontier = step if target is None else step.where(~target)
         if frontier.isEmpty():
             break
@@ -171,20 +173,85 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 def trim_acyclic(edges: DataFrame) -> DataFrame:
     """The edges that can lie on a cycle: nodes without predecessors or successors go, round by round."""
     left = materialize(edges.select("src", "dst").distinct(), "trim")
+    n = left.count()
     while True:
         both = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id")
         kept = left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
         kept = materialize(kept, "trim")
-        if kept.count() == left.count():
+        m = kept.count()
+        release(left)
+        if m == n or not m:
             return kept
-        left = kept
+        left, n = kept, m
+
+
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """``node, colour``: the least node that reaches it (itself included); only nodes whose colour fell tell their successors."""
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    state = materialize(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("fell")), "colour")
+    while True:
+        told = state.where("fell").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("c"))
+        nxt = state.join(told, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("fell"))
+        nxt = materialize(nxt, "colour")
+        release(state)
+        state = nxt
+        if state.where("fell").isEmpty():
+            return state
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """``node, component``: nodes on a cycle and the least node of their strongly connected component."""
-    pairs = materialize(closure(trim_acyclic(edges)), "pairs")
-    mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.origin") == F.col("b.node")) & (F.col("a.node") == F.col("b.origin")))
-    return mutual.groupBy(F.col("a.origin").alias("node")).agg(F.min("a.node").alias("component"))
+    """``node, component``: nodes on a cycle and the least node of their strongly connected component.
+
+    By colours, with one row a node as state: every node takes the least node
+    that reaches it; what reaches the colour's own node along edges of one
+    colour is its component; components leave, and the rest is trimmed and
+    coloured again. A self-loop is a cycle.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    left, found = trim_acyclic(edges), None
+    while not left.isEmpty():
+        colours = _least_reaching(left).select("node", "colour")
+        near = left.join(colours.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colours.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst")
+        back = materialize(near.where("a = b").select(F.col("dst").alias("_d"), F.col("src").alias("_s"), F.col("a").alias("component")), "scc-edges")
+        part = frontier = materialize(colours.where("node = colour").select("node", F.col("colour").alias("component")), "scc")
+        while not frontier.isEmpty():
+            step = frontier.join(back, (F.col("node") == F.col("_d")) & (frontier["component"] == back["component"])).select(F.col("_s").alias("node"), back["component"]).distinct()
+            frontier = materialize(step.join(part, "node", "left_anti"), "scc")
+            part = part.unionByName(frontier)
+        release(back)
+        part = materialize(part, "scc")
+        sizes = part.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        real = part.join(sizes, "component", "left_semi").unionByName(part.join(loops, "node", "left_semi").join(sizes, "component", "left_anti"))
+        found = real if found is None else found.unionByName(real)
+        done = part.select("node")
+        rest = left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = trim_acyclic(rest)
+        release(left)
+        left = rest
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    return found.select("node", "component")
+
+
+def cycle_paths(edges: DataFrame, max_length: int = config.CHAIN_DEPTH) -> DataFrame:
+    """``path, hops`` of the elementary cycles of at most ``max_length`` edges, each once, from its least node and back to it.
+
+    Only edges within strongly connected components are walked, and only over
+    nodes greater than the start.
+    """
+    members = materialize(cycle_members(edges), "cycle-members")
+    own = edges.select("src", "dst").distinct().join(members.withColumnsRenamed({"node": "src", "component": "a"}), "src").join(members.withColumnsRenamed({"node": "dst", "component": "b"}), "dst")
+    hop = materialize(own.where("a = b").select("src", "dst"), "cycle-edges")
+    frontier = members.select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
+    found = frontier.limit(0).select("path")
+    for k in range(max_length):
+        step = frontier.join(hop, F.col("node") == F.col("src"))
+        step = materialize(step.where((F.col("dst") == F.col("start")) | (F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")), "cycles")
+        found = found.unionByName(step.where("node = start").select("path"))
+        frontier = step.where("node <> start")
+        if frontier.isEmpty():
+            break
+    return found.select("path", (F.size("path") - 1).alias("hops"))
 
 
 def dag_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,11 +265,14 @@ def dag_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     waiting = materialize(hop.groupBy("src").agg(F.count("*").alias("left"), F.lit(0).alias("best")), "depth")
     fresh = nodes.select(F.col("id").alias("node")).join(waiting, F.col("node") == F.col("src"), "left_anti").withColumn("depth", F.lit(0))
     settled = fresh = materialize(fresh, "depth")
+    table = waiting
     while True:
         told = hop.join(fresh, F.col("dst") == F.col("node")).groupBy("src").agg(F.count("*").alias("k"), (F.max("depth") + 1).alias("d"))
         waiting = waiting.join(told, "src", "left").select("src", (F.col("left") - F.coalesce("k", F.lit(0))).alias("left"), F.greatest("best", F.coalesce("d", F.lit(0))).alias("best"))
         waiting = materialize(waiting, "depth")
-        fresh = waiting.where("left = 0").select(F.col("src").alias("node"), F.col("best").alias("depth"))
+        fresh = materialize(waiting.where("left = 0").select(F.col("src").alias("node"), F.col("best").alias("depth")), "depth")
+        release(table)
+        table = waiting
         if fresh.isEmpty():
             return nodes.select(F.col("id").alias("node")).join(settled, "node", "left")
         settled = settled.unionByName(fresh)
@@ -210,15 +280,30 @@ def dag_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, component``: least id of the undirected component; each round takes the neighbours' least label and follows labels."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both = materialize(both, "cc-edges")
-    labels = materialize(nodes.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "cc")
+    """``node, component``: least id of the undirected component.
+
+    Large-star and small-star steps in turn: each keeps, of a node's
+    neighbours, the least, and points the others at it, so the depth of the
+    graph halves or better; neighbours are reduced by partial aggregation and
+    never gathered. The end is seen by the edges' count and checksum.
+    """
+    links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    state, before = materialize(links, "cc"), None
     while True:
-        low = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
-        nxt = labels.join(low, F.col("node") == F.col("src"), "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
-        jump = nxt.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        nxt = materialize(nxt.join(jump, "m", "left").select("node", F.least("m", F.coalesce("mm", "m")).alias("component"), (F.least("m", F.coalesce("mm", "m")) != F.col("component")).alias("moved")), "cc")
-        labels = nxt.select("node", "component")
-        if nxt.where("moved").isEmpty():
-            return labels
+        mark = tuple(state.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).head())
+        if mark == before:
+            break
+        before = mark
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        nxt = materialize(nxt, "cc")
+        release(state, large)
+        state = nxt
+    labels = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ids = nodes.select(F.col("id").alias("node")).distinct()
+    return ids.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -194,13 +194,13 @@ NEAR = "l AS (SELECT '{0}' AS node, 0 AS level UNION SELECT {1}, level + 1 FROM
 @query(f"{SUP}, {NEAR.format('SUPPLIER:1', 'src', 'dst', 3)}")
 def dependencies_upstream(spark, sf):
     g = graphs.supply(spark, sf)
-    return traverse.neighbours_with_depth(materialize(g.edges, "edges"), g.nodes, _one(spark, "SUPPLIER:1"), "up", 3)
+    return traverse.neighbours_with_depth(g.edges, g.nodes, _one(spark, "SUPPLIER:1"), "up", 3)
 
 
 @query(f"{SUP}, {NEAR.format('CUSTOMER:1', 'dst', 'src', 3)}")
 def dependents_downstream(spark, sf):
     g = graphs.supply(spark, sf)
-    return traverse.neighbours_with_depth(materialize(g.edges, "edges"), g.nodes, _one(spark, "CUSTOMER:1"), "down", 3)
+    return traverse.neighbours_with_depth(g.edges, g.nodes, _one(spark, "CUSTOMER:1"), "down", 3)
 
 
 @query(f"""{TRADE}, d AS (SELECT id AS origin, id AS node, 0 AS level FROM nodes UNION SELECT origin, dst, level + 1 FROM d JOIN edges ON node = src WHERE level < 5),
@@ -212,28 +212,25 @@ def impact_levels(spark, sf):
     return side("downstream", "down").unionByName(side("upstream", "up"))
 
 
-@query(f"""{SUP}, r AS (SELECT id AS origin, id AS node FROM nodes WHERE type IN ('PART', 'SUPPLIER') UNION SELECT origin, dst FROM r JOIN edges ON node = src),
+@query(f"""{SUP}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), r AS (SELECT src AS origin, dst AS node FROM e UNION SELECT origin, dst FROM r JOIN e ON node = src),
 s AS (SELECT origin, count(*) AS affected, sum({WEIGHT_SQL}) / (count(*) * 5.0) * 100 AS raw FROM r JOIN nodes ON id = node WHERE origin <> node GROUP BY 1)
-SELECT n.id AS origin, coalesce(affected, 0) AS affected, round(coalesce(raw, 0), 2) AS score, {SEVERITY_SQL} AS severity FROM nodes n LEFT JOIN s ON n.id = s.origin WHERE type IN ('PART', 'SUPPLIER')""")
+SELECT n.id AS origin, coalesce(affected, 0) AS affected, round(coalesce(raw, 0), 2) AS score, {SEVERITY_SQL} AS severity FROM nodes n LEFT JOIN s ON n.id = s.origin""")
 def impact_score(spark, sf):
     g = graphs.supply(spark, sf)
-    edges = materialize(g.edges.where("relation not in ('PLACES', 'CONTAINS')"), "edges")  # nothing else leaves a part
-    origins = g.nodes.where("type in ('PART', 'SUPPLIER')").select("id")
-    reach = traverse.bfs_levels(edges, origins).where("level > 0").select("origin", "node")
-    return metrics.impact_scores(reach, g.nodes, origins, WEIGHTS)
+    return metrics.impact_of_all(g.nodes, g.edges, WEIGHTS)
 
 
 @query(f"{SUP}, r AS (SELECT 'SUPPLIER:0' AS node UNION SELECT src FROM r JOIN edges ON node = dst) SELECT type, count(*) AS n FROM r JOIN nodes ON id = node WHERE node <> 'SUPPLIER:0' GROUP BY 1")
 def impact_by_type(spark, sf):
     g = graphs.supply(spark, sf)
-    reach = traverse.bfs_levels(materialize(g.edges, "edges"), _one(spark, "SUPPLIER:0"), "up").where("level > 0")
+    reach = traverse.bfs_levels(g.edges, _one(spark, "SUPPLIER:0"), "up").where("level > 0")
     return reach.join(g.nodes, F.col("node") == F.col("id")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"{SUP}, p AS (SELECT [id] AS path, id AS node FROM nodes WHERE id IN ('ORDER:5', 'ORDER:6') UNION ALL SELECT list_append(path, dst), dst FROM p JOIN edges ON node = src) SELECT array_to_string(path, '->') AS path, len(path)::INT AS length FROM p WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = node)")
 def dependency_chain_by_layer(spark, sf):
     g = graphs.supply(spark, sf)
-    out = traverse.dependency_chains(materialize(g.edges, "edges"), g.nodes, _one(spark, "ORDER:5", "ORDER:6"), LAYERS)
+    out = traverse.dependency_chains(g.edges, g.nodes, _one(spark, "ORDER:5", "ORDER:6"), LAYERS)
     return out.select(F.array_join("path", "->").alias("path"), "length")
 
 
@@ -242,17 +239,21 @@ def cycles(spark, sf):
     return traverse.cycle_members(graphs.trade(spark, sf).edges)
 
 
-@query(f"{SUP} SELECT id AS node, CASE type WHEN 'REGION' THEN 0 WHEN 'NATION' THEN 1 WHEN 'SUPPLIER' THEN 2 WHEN 'PART' THEN CASE WHEN id IN (SELECT src FROM edges) THEN 3 ELSE 0 END WHEN 'ORDER' THEN coalesce((SELECT 4 FROM edges WHERE src = id LIMIT 1), 0) ELSE coalesce((SELECT 5 FROM edges WHERE src = id LIMIT 1), 0) END::INT AS depth FROM nodes")
+@query(f"{TRADE}, e AS (SELECT DISTINCT src, dst FROM edges), p AS (SELECT src AS start, dst AS node, [src, dst] AS path FROM e WHERE dst >= src UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE node <> start AND len(path) <= 4 AND (dst = start OR dst > start AND NOT list_contains(path, dst))) SELECT array_to_string(path, '->') AS path, (len(path) - 1)::INT AS hops FROM p WHERE node = start")
+def cycle_paths(spark, sf):
+    return traverse.cycle_paths(graphs.trade(spark, sf).edges, 4).select(F.array_join("path", "->").alias("path"), "hops")
+
+
+@query(f"{SUP}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), p AS (SELECT id AS node, 0 AS d FROM nodes WHERE id NOT IN (SELECT src FROM e) UNION SELECT src, d + 1 FROM p JOIN e ON dst = node) SELECT node, max(d)::INT AS depth FROM p GROUP BY 1")
 def dag_depth(spark, sf):
     g = graphs.supply(spark, sf)
-    return traverse.dag_depth(materialize(g.edges, "edges"), g.nodes)
+    return traverse.dag_depth(g.edges, g.nodes)
 
 
-@query(f"{SUP}, b AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 'REGION:0' AS node UNION SELECT dst FROM r JOIN b ON node = src), c AS (SELECT id, CASE WHEN node IS NOT NULL THEN 'main' ELSE id END AS component FROM nodes LEFT JOIN r ON id = node) SELECT count(DISTINCT component) AS components, max(s) AS largest FROM (SELECT component, count(*) AS s FROM c GROUP BY 1) t")
+@query(f"{SUP}, b AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 'REGION:0' AS node UNION SELECT dst FROM r JOIN b ON node = src), o AS (SELECT id FROM nodes WHERE id NOT IN (SELECT node FROM r)), q AS (SELECT id AS node, id AS label FROM o UNION SELECT b.dst, label FROM q JOIN b ON node = b.src) SELECT node, (SELECT min(node) FROM r) AS component FROM r UNION ALL SELECT node, min(label) FROM q GROUP BY 1")
 def connected_components(spark, sf):
     g = graphs.supply(spark, sf)
-    c = traverse.components(g.edges, g.nodes).groupBy("component").agg(F.count("*").alias("s"))
-    return c.agg(F.countDistinct("component").alias("components"), F.max("s").alias("largest"))
+    return traverse.components(g.edges, g.nodes)
 
 
 SHORT = "q AS (SELECT id AS origin, id AS node, [id] AS path, 0 AS hops FROM nodes UNION ALL SELECT origin, dst, list_append(path, dst), hops + 1 FROM q JOIN edges ON node = src WHERE NOT list_contains(path, dst) AND hops < 7), best AS (SELECT origin, node, min(hops) AS hops FROM q GROUP BY 1, 2), sp AS (SELECT q.* FROM q JOIN best b ON q.origin = b.origin AND q.node = b.node AND q.hops = b.hops WHERE q.hops > 0), cnt AS (SELECT origin, node, count(*) AS k FROM sp GROUP BY 1, 2), thru AS (SELECT sp.origin, sp.node, unnest(sp.path[2:-2]) AS mid FROM sp), btw AS (SELECT mid, sum(1.0 / k) / ((SELECT (count(*) - 1) * (count(*) - 2) FROM nodes)) AS v FROM thru JOIN cnt ON thru.origin = cnt.origin AND thru.node = cnt.node GROUP BY 1), clo AS (SELECT node, count(*) * count(*) / ((SELECT count(*) - 1.0 FROM nodes) * sum(hops)) AS v FROM best WHERE hops > 0 GROUP BY 1)"
@@ -329,9 +330,12 @@ def merge_report(spark, sf):
     return merge.merge_report(g, graphs.second_opinion(spark, sf, g))
 
 
-@query(f"{SUP} SELECT id, type, name FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)")
+ENDS = "ends AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
+
+
+@query(f"{SUP}, ends AS MATERIALIZED (SELECT src AS id FROM edges WHERE relation = 'CONTAINS' UNION SELECT dst FROM edges WHERE relation = 'CONTAINS') SELECT nodes.id, type, name FROM nodes LEFT JOIN ends ON nodes.id = ends.id WHERE ends.id IS NULL")
 def orphan_nodes(spark, sf):
-    g = graphs.supply(spark, sf)
+    g = graphs.supply(spark, sf).filter_relations(["CONTAINS"])
     return quality.orphans(g.nodes, g.edges)
 
 
@@ -341,12 +345,12 @@ def missing_relationships(spark, sf):
     return quality.missing_relationships(g.nodes, g.edges, RULES)
 
 
-@query(f"""{SUP}, {MISSING_SQL}, o AS (SELECT id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)),
+@query(f"""{SUP}, {MISSING_SQL}, {ENDS}, o AS (SELECT nodes.id FROM nodes LEFT JOIN ends ON nodes.id = ends.id WHERE ends.id IS NULL),
 c AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM o) AS orphans, (SELECT count(*) FROM m) AS issues)
 SELECT *, round(greatest(0.0, least(0.5 * least(edges / 2.0 / nodes, 1.0) + 0.3 * (1 - orphans / nodes) + 0.2 * (1 - issues / nodes), 1.0)), 4) AS score FROM c""")
 def completeness_score(spark, sf):
     g = graphs.supply(spark, sf)
-    return quality.completeness(g.nodes, materialize(g.edges, "edges"), RULES)
+    return quality.completeness(g.nodes, g.edges, RULES)
 
 
 @query(f"{SUP}, o AS (SELECT src AS id, count(*) AS k FROM edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS k FROM edges GROUP BY 1), d AS (SELECT n.*, coalesce(i.k, 0) + coalesce(o.k, 0) AS degree FROM nodes n LEFT JOIN o ON n.id = o.id LEFT JOIN i ON n.id = i.id) SELECT id AS node, type, 25 + least(5 * degree, 25) AS size, '#9E9E9E' AS colour, type || ' | ' || substr(coalesce(name, id), 1, 50) || ' | degree ' || degree AS tooltip FROM d")

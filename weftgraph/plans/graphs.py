@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Graph
+from ..storage import kept
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -49,17 +50,22 @@ def _sql(spark: SparkSession, text: str, frames: dict[str, DataFrame]) -> DataFr
     return spark.sql(text, **{n: f for n, f in frames.items() if "{" + n + "}" in text})
 
 
+def _sources(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in "region nation customer supplier part orders lineitem".split()]
+
+
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers to regions over orders, parts and suppliers; written once a session, since queries and rounds read it often."""
     t = tables(spark, sf_dir)
-    return Graph(_sql(spark, SUPPLY_NODES, t), _sql(spark, SUPPLY_EDGES, t))
+    nodes = kept(spark, "supply-nodes", _sources(sf_dir), lambda: _sql(spark, SUPPLY_NODES, t))
+    return Graph(nodes, kept(spark, "supply-edges", _sources(sf_dir), lambda: _sql(spark, SUPPLY_EDGES, t).sortWithinPartitions("src")))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """The cyclic graph of 25 nations; stored once a query, since loops read it often."""
-    from ..storage import materialize
-
+    """The cyclic graph of 25 nations; written once a session."""
     t = tables(spark, sf_dir)
-    return Graph(materialize(_sql(spark, TRADE_NODES, t), "trade-nodes"), materialize(_sql(spark, TRADE_EDGES, t), "trade-edges"))
+    nodes = kept(spark, "trade-nodes", _sources(sf_dir), lambda: _sql(spark, TRADE_NODES, t))
+    return Graph(nodes, kept(spark, "trade-edges", _sources(sf_dir), lambda: _sql(spark, TRADE_EDGES, t).coalesce(1)))
 
 
 def second_opinion(spark: SparkSession, sf_dir: str, first: Graph) -> Graph:
@@ -74,7 +80,7 @@ def _named(text: str, **more: str) -> str:
     return text.format(**{n: n for n in TABLES}, **more)
 
 
-ORACLE_SUPPLY = f"nodes AS ({_named(SUPPLY_NODES)}), edges AS ({_named(SUPPLY_EDGES)})"
+ORACLE_SUPPLY = f"nodes AS MATERIALIZED ({_named(SUPPLY_NODES)}), edges AS MATERIALIZED ({_named(SUPPLY_EDGES)})"
 ORACLE_TRADE = f"nodes AS ({_named(TRADE_NODES)}), edges AS MATERIALIZED ({_named(TRADE_EDGES)})"
 ORACLE_SECOND = (
     ORACLE_TRADE
