@@ -19,7 +19,8 @@ def analyze_all(spark: SparkSession, root: str, kinds: list[str] | None = None)
 
 
 def analyze_jsp(spark: SparkSession, root: str) -> DataFrame:
-    return markup.extract_pages(project.classify(project.read_files(spark, root), ["jsp"]).select(F.col("rel").alias("path"), "content"))
+    files = project.read_files(spark, root)
+    return markup.extract_pages(project.classify(files, ["jsp"]).select(F.col("rel").alias("path"), "content"), files.select(F.col("rel").alias("path")))
 
 
 def analyze_classes(spark: SparkSession, root: str) -> DataFrame:
@@ -33,6 +34,7 @@ def analyze_mappers(spark: SparkSession, root: str) -> DataFrame:
 def build_graph(spark: SparkSession, root: str, dictionary: dict[str, DataFrame] | None = None, declares: bool = False) -> Graph:
     """The graph of a source tree; without a dictionary every table and procedure that statements name counts as there."""
     maps = analyze_mappers(spark, root)
+    triggers = jobs = None
     if dictionary is None:
         s = mapper.statements(maps)
         tables = s.select(F.explode("tables").alias("name")).select(F.upper("name").alias("name")).distinct()
@@ -40,7 +42,8 @@ def build_graph(spark: SparkSession, root: str, dictionary: dict[str, DataFrame]
         procs = s.where("procedure_name is not null").select(F.upper("procedure_name").alias("name")).distinct()
     else:
         tables, views, procs = (dictionary[k].select("name") for k in ("tables", "views", "procedures"))
-    return build.build_graph(analyze_jsp(spark, root), analyze_classes(spark, root), maps, tables, views, procs, declares)
+        triggers, jobs = dictionary.get("triggers"), dictionary.get("jobs")
+    return build.build_graph(analyze_jsp(spark, root), analyze_classes(spark, root), maps, tables, views, procs, declares, triggers, jobs)
 
 
 def find_chain(graph: Graph, start: str, end: str | None = None, max_depth: int = config.CHAIN_DEPTH, max_paths: int = config.MAX_PATHS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..model import Graph
 from . import java, mapper
+from . import procedures as calling
 
 NODE = ["id", "type", "name", "path", "metadata"]
 EDGE = ["src", "dst", "relation", "confidence", "source_type", "description"]
@@ -70,6 +71,16 @@ def database_nodes(tables: DataFrame, views: DataFrame, procedures: DataFrame) -
     return of(tables, "TABLE").unionByName(of(views, "VIEW")).unionByName(of(procedures, "PROCEDURE"))
 
 
+def trigger_nodes(callers: DataFrame) -> DataFrame:
+    return _node(callers.select("trigger_name").distinct(), F.concat(F.lit("TRIGGER:"), F.upper("trigger_name")), "TRIGGER", F.col("trigger_name"), F.lit(""))
+
+
+def job_nodes(callers: DataFrame) -> DataFrame:
+    """Job nodes; a job that any caller row has enabled is enabled."""
+    per = callers.groupBy("job_name").agg(F.max("enabled").alias("enabled"))
+    return _node(per, F.concat(F.lit("ORACLE_JOB:"), F.upper("job_name")), "ORACLE_JOB", F.col("job_name"), F.lit(""), enabled=F.col("enabled"))
+
+
 def first_wins(parts: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
     """Union in the given order; of rows with equal keys the first part's stays, ties by ``order``."""
     ranked = reduce(DataFrame.unionByName, [p.withColumn("_rank", F.lit(i)) for i, p in enumerate(parts)])
@@ -142,15 +153,30 @@ def declare_edges(nodes: DataFrame) -> DataFrame:
     return _edge(m, F.col("src"), F.col("id"), "DECLARES", F.lit(1.0), F.lit(""))
 
 
-def build_graph(pages: DataFrame, classes: DataFrame, mappers: DataFrame, tables: DataFrame, views: DataFrame, procedures: DataFrame, declares: bool = False) -> Graph:
-    """The whole graph; edges whose ends are not nodes go, nodes and edges are distinct with the first in order winning."""
-    nodes = first_wins([jsp_nodes(pages), controller_nodes(classes), service_nodes(classes), mapper_nodes(classes, mappers), sql_nodes(mappers), database_nodes(tables, views, procedures)], ["id"], ["path", "name"])
+def build_graph(pages: DataFrame, classes: DataFrame, mappers: DataFrame, tables: DataFrame, views: DataFrame, procedures: DataFrame, declares: bool = False, triggers: DataFrame | None = None, jobs: DataFrame | None = None) -> Graph:
+    """The whole graph; edges whose ends are not nodes go, nodes and edges are distinct with the first in order winning.
+
+    ``triggers`` (trigger_name, description) and ``jobs`` (job_name, job_type,
+    job_action, enabled, broken) that call a procedure are nodes, with
+    TRIGGERED_BY and SCHEDULED_BY edges from it.
+    """
+    kinds = [jsp_nodes(pages), controller_nodes(classes), service_nodes(classes), mapper_nodes(classes, mappers), sql_nodes(mappers), database_nodes(tables, views, procedures)]
+    called = []
+    if triggers is not None:
+        by_trigger = calling.trigger_callers(procedures, triggers)
+        kinds.append(trigger_nodes(by_trigger))
+        called.append(trigger_edges(by_trigger))
+    if jobs is not None:
+        by_job = calling.job_callers(procedures, jobs)
+        kinds.append(job_nodes(by_job))
+        called.append(job_edges(by_job))
+    nodes = first_wins(kinds, ["id"], ["path", "name"])
     ends, svc = java.controllers(classes), java.services(classes)
     parts = [
         include_edges(pages),
         call_edges(classes, "INVOKES", "CONTROLLER_METHOD", "SERVICE_METHOD", ends, "calls", nodes),
         call_edges(classes, "USES", "SERVICE_METHOD", "MAPPER_METHOD", svc, "mapper_calls", nodes),
-        mapper_to_sql(classes, mappers), *sql_to_tables(mappers), sql_to_procedures(mappers), ajax_edges(pages, classes),
+        mapper_to_sql(classes, mappers), *sql_to_tables(mappers), sql_to_procedures(mappers), ajax_edges(pages, classes), *called,
     ]
     if declares:
         parts.append(declare_edges(nodes))
@@ -160,6 +186,29 @@ def build_graph(pages: DataFrame, classes: DataFrame, mappers: DataFrame, tables
     return Graph(nodes.select(*NODE), edges.select(*EDGE))
 
 
+def dependencies_of(results: DataFrame) -> DataFrame:
+    """``results`` with ``dependencies array<string>`` from a list or the keys of a map, and from ``fields`` (type, annotations) that are injected.
+
+    ``dependencies`` may be an array of strings or a map by name; ``fields`` may
+    be missing.
+    """
+    kind = results.schema["dependencies"].dataType.simpleString()
+    own = F.map_keys("dependencies") if kind.startswith("map") else F.col("dependencies")
+    own = F.coalesce(own, F.array().cast("array<string>"))
+    if "fields" in results.columns:
+        injected = F.filter("fields", lambda f: F.exists(f["annotations"], lambda a: a.rlike("Autowired|Inject|Resource")) & (F.coalesce(f["type"], F.lit("")) != ""))
+        own = F.concat(own, F.coalesce(F.transform(injected, lambda f: f["type"]), F.array().cast("array<string>")))
+    return results.withColumn("dependencies", own)
+
+
+def adjacency(graph: Graph) -> DataFrame:
+    """``name, type, dependencies, dependents``: each node with its sorted neighbours, the rows of the graph's JSON."""
+    near = lambda a, b, name: graph.edges.groupBy(F.col(a).alias("id")).agg(F.sort_array(F.collect_set(b)).alias(name))
+    out = graph.nodes.select("id", "type").join(near("src", "dst", "dependencies"), "id", "left").join(near("dst", "src", "dependents"), "id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("id").alias("name"), "type", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents"))
+
+
 def component_graph(results: DataFrame) -> Graph:
     """The coarse graph of file-level results (name, kind, dependencies array<string>, view_names array<string>).
 
@@ -167,7 +216,7 @@ def component_graph(results: DataFrame) -> Graph:
     part of the dependency's name, ``renders`` from controllers to pages.
     """
     nodes = results.where("name is not null").select(F.col("name").alias("id"), F.col("kind").alias("type"), "name").dropDuplicates(["id"])
-    last = results.select("name", "kind", F.explode("dependencies").alias("d")).withColumn("dst", F.element_at(F.split("d", "[.]"), -1))
+    last = dependencies_of(results).select("name", "kind", F.explode("dependencies").alias("d")).withColumn("dst", F.element_at(F.split("d", "[.]"), -1))
     rule = ((F.col("kind") == "controller") & F.col("dst").rlike("(?:Service|ServiceImpl)$")) | ((F.col("kind") == "service") & F.col("dst").endswith("Mapper"))
     uses = last.where(rule).select(F.col("name").alias("src"), "dst", F.lit("uses").alias("relation"))
     renders = results.where("kind = 'controller'").select(F.col("name").alias("src"), F.explode("view_names").alias("dst"), F.lit("renders").alias("relation"))

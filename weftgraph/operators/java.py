@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HTTP_BY_ANNOTATION
+from ..functions.text import HTTP_BY_ANNOTATION, http_method
 
 _SKIP = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?\*/', re.S)
 _ANNOTATION = re.compile(r"@([A-Za-z_]\w*)(?!\w*\s*\{)")
@@ -58,7 +58,10 @@ def split_top(code: str, source: str, by: str = ",") -> list[str]:
 
 
 def annotations(code: str, source: str) -> list[dict]:
-    """``name`` and ``arguments`` of the annotations in a stretch of source; a single value is the argument ``value``."""
+    """``name`` and ``arguments`` of the annotations in a stretch of source; a single value is the argument ``value``.
+
+    The values of an array are the argument's, one a line.
+    """
     out, k = [], 0
     while m := _ANNOTATION.search(code, k):
         k = m.end()
@@ -69,7 +72,12 @@ def annotations(code: str, source: str) -> list[dict]:
             inner, raw = code[rest.end() : end - 1], source[rest.end() : end - 1]
             for part in split_top(inner, raw):
                 key, eq, value = part.partition("=") if re.match(r"\s*\w+\s*=", part) else ("value", "=", part)
-                arguments[key.strip()] = value.strip().strip("{}").strip().strip("\"'")
+                value = value.strip()
+                if value.startswith("{") and value.endswith("}"):
+                    items = split_top(blank(value[1:-1]), value[1:-1])
+                    arguments[key.strip()] = "\n".join(x.strip("\"'") for x in items)
+                else:
+                    arguments[key.strip()] = value.strip("\"'")
             k = end
         out.append({"name": m[1], "arguments": arguments})
     return out
@@ -100,23 +108,13 @@ def calls(code: str, source: str) -> list[dict]:
     return out
 
 
-def parse(source: str) -> dict:
-    """The record of one file: package, imports, class, annotations, dependencies, methods, exceptions, and whether brackets match."""
-    code = blank(source)
-    package = re.search(r"\bpackage\s+([\w.]+)\s*;", code)
-    cls = _CLASS.search(code)
-    out = {
-        "package": package[1] if package else "", "imports": [re.sub(r"\s+", " ", x.strip()) for x in re.findall(r"\bimport\s+([^;]+);", code)],
-        "class_name": cls[1] if cls else "", "class_annotations": [], "dependencies": [], "methods": [], "exceptions_caught": [], "try_lines": [], "has_errors": any(code.count(a) != code.count(b) for a, b in ("()", "{}")),
-    }
-    if not cls:
-        return out
-    head = max(code.rfind(";", 0, cls.start()), code.rfind("}", 0, cls.start())) + 1
-    out["class_annotations"] = annotations(code[head : cls.start()], source[head : cls.start()])
-    start = code.find("{", cls.end())
-    if start < 0:
-        return out
-    stop, k, member = closing(code, start, "{}") - 1, start + 1, start + 1
+def _dependency(kind: str, name: str, how: str) -> dict:
+    return {"type": kind, "name": name, "injection_type": how, "is_service": "Service" in kind or "Repository" in kind, "is_mapper": "Mapper" in kind or "Repository" in kind}
+
+
+def _members(code: str, source: str, start: int, stop: int, own: str, out: dict) -> None:
+    """Put methods and dependencies of the class body from ``start`` to ``stop``, and of classes within it, into ``out``."""
+    k = member = start
     fields: list[tuple[int, int]] = []
     while k < stop:
         c = code[k]
@@ -136,8 +134,8 @@ def parse(source: str) -> dict:
             if tail and name and "=" not in re.sub(r"@\w+\s*\([^)]*\)", "", code[member:k]):
                 body_end = closing(code, tail.end() - 1, "{}") if tail[2] == "{" else tail.end()
                 params = parameters(code[k + 1 : end - 1], source[k + 1 : end - 1])
-                if name[1] == cls[1]:
-                    out["dependencies"] += [{"type": p["type"], "name": p["name"], "injection_type": "constructor"} for p in params]
+                if name[1] == own:
+                    out["dependencies"] += [_dependency(p["type"], p["name"], "constructor") for p in params]
                 elif found:
                     first = member + found.start()
                     out["methods"].append({
@@ -150,13 +148,35 @@ def parse(source: str) -> dict:
             else:
                 k = end
         elif c == "{":
-            k = member = closing(code, k, "{}")
+            end = closing(code, k, "{}")
+            if inner := _CLASS.search(code[member:k]):
+                _members(code, source, k + 1, end - 1, inner[1], out)
+            k = member = end
         else:
             k += 1
     for a, b in fields:
         m = _FIELD.search(code[a:b])
         if m and _INJECT & {n["name"] for n in annotations(m[1], source[a + m.start(1) : a + m.end(1)])}:
-            out["dependencies"].append({"type": re.sub(r"\s+", "", m[2]), "name": m[3], "injection_type": "field"})
+            out["dependencies"].append(_dependency(re.sub(r"\s+", "", m[2]), m[3], "field"))
+
+
+def parse(source: str) -> dict:
+    """The record of one file: package, imports, class, annotations, dependencies, methods (of nested classes, too), exceptions, and whether brackets match."""
+    code = blank(source)
+    package = re.search(r"\bpackage\s+([\w.]+)\s*;", code)
+    cls = _CLASS.search(code)
+    out = {
+        "package": package[1] if package else "", "imports": [re.sub(r"\s+", " ", x.strip()) for x in re.findall(r"\bimport\s+([^;]+);", code)],
+        "class_name": cls[1] if cls else "", "class_annotations": [], "dependencies": [], "methods": [], "exceptions_caught": [], "try_lines": [], "has_errors": any(code.count(a) != code.count(b) for a, b in ("()", "{}")),
+    }
+    if not cls:
+        return out
+    head = max(code.rfind(";", 0, cls.start()), code.rfind("}", 0, cls.start())) + 1
+    out["class_annotations"] = annotations(code[head : cls.start()], source[head : cls.start()])
+    start = code.find("{", cls.end())
+    if start < 0:
+        return out
+    _members(code, source, start + 1, closing(code, start, "{}") - 1, cls[1], out)
     out["try_lines"] = [code.count("\n", 0, m.start()) + 1 for m in re.finditer(r"\btry\b\s*[({]", code)]
     caught = [x.strip() for m in re.finditer(r"\bcatch\s*\(\s*(?:final\s+)?([\w.|\s]+?)\s+\w+\s*\)", code) for x in m[1].split("|")]
     out["exceptions_caught"] = list(dict.fromkeys(caught))
@@ -165,7 +185,7 @@ def parse(source: str) -> dict:
 
 NOTE = "struct<name: string, arguments: map<string, string>>"
 RECORD = (
-    f"package string, imports array<string>, class_name string, class_annotations array<{NOTE}>, dependencies array<struct<type: string, name: string, injection_type: string>>, "
+    f"package string, imports array<string>, class_name string, class_annotations array<{NOTE}>, dependencies array<struct<type: string, name: string, injection_type: string, is_service: boolean, is_mapper: boolean>>, "
     f"methods array<struct<name: string, return_type: string, parameters: array<struct<name: string, type: string, annotations: array<string>, param_annotation: string>>, annotations: array<{NOTE}>, "
     "calls: array<struct<receiver: string, method: string, arguments_count: int, full_expression: string>>, throws: array<string>, returns: array<string>>>, exceptions_caught array<string>, try_lines array<int>, has_errors boolean"
 )
@@ -192,20 +212,45 @@ def _argument(notes: Column, annotation: tuple[str, ...], *keys: str) -> Column:
     return F.coalesce(*[F.try_element_at(args, F.lit(k)) for k in keys])
 
 
+def _values(given: Column) -> Column:
+    """The values of an argument, one at least: those of an array stand a line each."""
+    return F.split(F.coalesce(given, F.lit("")), "\n")
+
+
 def controllers(classes: DataFrame) -> DataFrame:
-    """Endpoints: ``class_name, base_path, method, http_method, url_path, calls`` for each mapped method of a controller."""
+    """Endpoints: ``class_name, base_path, method, http_method, url_path, params, headers, consumes, produces, calls`` for each path and HTTP method of each mapped method of a controller."""
     c = classes.where(has_annotation(F.col("class_annotations"), "Controller", "RestController"))
-    base = F.coalesce(_argument(F.col("class_annotations"), ("RequestMapping",), "value", "path"), F.lit(""))
-    m = c.select("path", "package", "class_name", base.alias("base_path"), F.explode("methods").alias("m"))
+    base = _argument(F.col("class_annotations"), ("RequestMapping",), "value", "path")
+    m = c.select("path", "package", "class_name", F.explode(_values(base)).alias("base_path"), "methods")
+    m = m.select("path", "package", "class_name", "base_path", F.explode("methods").alias("m"))
     maps = tuple(HTTP_BY_ANNOTATION)
-    m = m.where(has_annotation(F.col("m.annotations"), *maps))
-    kind = F.try_element_at(F.filter("m.annotations", lambda n: n["name"].isin(list(maps))), F.lit(1))["name"]
-    verb = F.lit("UNKNOWN")
-    for name, method in HTTP_BY_ANNOTATION.items():
-        verb = F.when(kind == name, method).otherwise(verb)
-    given = F.regexp_extract(F.coalesce(_argument(F.col("m.annotations"), maps, "method"), F.lit("")), r"(\w+)$", 1)
-    path = F.coalesce(_argument(F.col("m.annotations"), maps, "value", "path"), F.lit(""))
-    return m.select("path", "package", "class_name", "base_path", F.col("m.name").alias("method"), F.when(given != "", F.upper(given)).otherwise(verb).alias("http_method"), F.concat("base_path", path).alias("url_path"), F.col("m.return_type").alias("return_type"), F.col("m.calls").alias("calls"), F.col("m.returns").alias("views"))
+    notes = F.col("m.annotations")
+    m = m.where(has_annotation(notes, *maps))
+    kind = F.try_element_at(F.filter(notes, lambda n: n["name"].isin(list(maps))), F.lit(1))["name"]
+    given = F.transform(_values(_argument(notes, maps, "method")), lambda x: F.upper(F.regexp_extract(x, r"(\w+)$", 1)))
+    more = {k: F.coalesce(F.array_join(F.filter(_values(_argument(notes, maps, k)), lambda x: x != ""), ","), F.lit("")).alias(k) for k in ("params", "headers", "consumes", "produces")}
+    m = m.select("path", "package", "class_name", "base_path", "m", *more.values(), http_method(kind).alias("usual"), F.explode(given).alias("given"), _values(_argument(notes, maps, "value", "path")).alias("paths"))
+    m = m.withColumn("own_path", F.explode("paths"))
+    return m.select(
+        "path", "package", "class_name", "base_path", F.col("m.name").alias("method"), F.when(F.col("given") != "", F.col("given")).otherwise(F.col("usual")).alias("http_method"),
+        F.concat("base_path", "own_path").alias("url_path"), F.col("m.return_type").alias("return_type"), *more, F.col("m.calls").alias("calls"), F.col("m.returns").alias("views"),
+    )
+
+
+def controller_statistics(classes: DataFrame) -> DataFrame:
+    """``path, class_name, total_methods, request_mappings, dependencies, has_errors`` of each controller."""
+    c = classes.where(has_annotation(F.col("class_annotations"), "Controller", "RestController"))
+    mapped = F.size(F.filter("methods", lambda m: has_annotation(m["annotations"], *HTTP_BY_ANNOTATION)))
+    return c.select("path", "class_name", F.size("methods").alias("total_methods"), mapped.alias("request_mappings"), F.size("dependencies").alias("dependencies"), "has_errors")
+
+
+def service_statistics(classes: DataFrame) -> DataFrame:
+    """``path, class_name, total_methods, transactional_methods, mapper_calls, dependencies, has_errors`` of each service."""
+    s = classes.where(has_annotation(F.col("class_annotations"), "Service", "Component"))
+    whole = has_annotation(F.col("class_annotations"), "Transactional")
+    own = F.size(F.filter("methods", lambda m: whole | has_annotation(m["annotations"], "Transactional")))
+    called = F.aggregate("methods", F.lit(0), lambda n, m: n + F.size(F.filter(m["calls"], lambda c: F.lower(c["receiver"]).rlike("mapper|repository|dao"))))
+    return s.select("path", "class_name", F.size("methods").alias("total_methods"), own.alias("transactional_methods"), called.alias("mapper_calls"), F.size("dependencies").alias("dependencies"), "has_errors")
 
 
 def transactional(notes: Column) -> Column:
