@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 CHAIN_DEPTH, IMPACT_DEPTH, HARD_DEPTH = 10, 5, 20
 MAX_PATHS, SUGGESTIONS = 100, 10
 GRAPH_TTL_HOURS, RESULT_TTL_DAYS = 24, 7
-BATCH_SIZE, WORKERS, DEFAULT_TIMEOUT_S = 100, 10, 30
+BATCH_SIZE, DEFAULT_TIMEOUT_S = 100, 30
 HIGH_CONFIDENCE, MEDIUM_CONFIDENCE, LOW_CONFIDENCE = 0.9, 0.7, 0.8
 AGREEMENT_BONUS, SECOND_PENALTY, CONFLICT_GAP = 0.1, 0.9, 0.3
 FIRST_DEFAULT, SECOND_DEFAULT = 1.0, 0.7
@@ -17,9 +17,7 @@ RATE_LIMIT, RATE_WINDOW_S, COST_PER_1K = 60, 60, 0.003
 SQL_PREVIEW, EDGE_SQL, SOURCE_CHARS, CONTEXT_LINES, LINK_TEXT = 200, 100, 10_000, 15, 50
 DIAGRAM_NODES, DIAGRAM_FANOUT = 50, 2
 
-# Node types, relations and their usual confidence.
-NODE_TYPES = "JSP CONTROLLER CONTROLLER_METHOD SERVICE SERVICE_METHOD MAPPER MAPPER_METHOD SQL_STATEMENT TABLE VIEW PROCEDURE TRIGGER ORACLE_JOB".split()
-RELATIONS = "INCLUDES CALLS INVOKES USES EXECUTES QUERIES MODIFIES CALLS_PROCEDURE TRIGGERED_BY SCHEDULED_BY".split()
+# Types that count as one, layers, weights, seconds a file may take by kind.
 SQL_TYPES = ("SQL", "SQL_STATEMENT")
 #: Layers of a chain, each a set of types.
 LAYERS = (("JSP",), ("CONTROLLER", "CONTROLLER_METHOD"), ("SERVICE", "SERVICE_METHOD"), ("MAPPER", "MAPPER_METHOD"), SQL_TYPES, ("TABLE", "VIEW", "PROCEDURE"))

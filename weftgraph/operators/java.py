@@ -171,7 +171,11 @@ def parse(source: str) -> dict:
     }
     if not cls:
         return out
-    head = max(code.rfind(";", 0, cls.start()), code.rfind("}", 0, cls.start())) + 1
+    head = depth = 0
+    for k, c in enumerate(code[: cls.start()]):  # what stands behind the last member or statement; braces in annotations are values
+        depth += (c == "(") - (c == ")")
+        if c in ";}" and depth <= 0:
+            head = k + 1
     out["class_annotations"] = annotations(code[head : cls.start()], source[head : cls.start()])
     start = code.find("{", cls.end())
     if start < 0:

@@ -86,6 +86,3 @@ def mapper_statistics(mappers: DataFrame) -> DataFrame:
     tables = F.size(F.array_distinct(F.flatten(F.transform("statements", lambda s: t.sql_tables(s["sql"])))))
     return mappers.select("path", "namespace", F.size("statements").alias("statements"), *[of(k.upper()) for k in STATEMENT_TAGS], F.size(F.filter("statements", lambda s: s["dynamic_sql"])).alias("dynamic"), F.size("result_maps").alias("result_maps"), F.size("sql_fragments").alias("sql_fragments"), tables.alias("tables"))
 
-
-def truncate_sql(sql: Column, n: int) -> Column:
-    return F.substring(sql, 1, n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from . import verify
 
 # (issue, node types, direction, types of the neighbour or relations, severity)
 RULES: tuple[tuple[str, tuple[str, ...], str, tuple[str, ...], str], ...] = (
@@ -56,9 +57,32 @@ def completeness(nodes: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     return n.crossJoin(m).crossJoin(o).crossJoin(i).withColumn("score", score)  # one row each
 
 
-def verify_issues(issues: DataFrame, verifier: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``issues`` with what ``verifier`` says of them; see ``verify.verify``."""
-    return verifier(issues)
+#: What a reviewer is asked about an issue; other kinds stay as they are.
+QUESTIONS = {
+    "orphan_controller": "No service is called from this controller method: is that meant, or is a relation missing?",
+    "orphan_service": "No mapper is used by this service method: does it work on something else, or is a relation missing?",
+    "orphan_mapper": "Nothing calls this mapper method: is it unused, or is a relation missing?",
+    "missing_ajax": "No call was found in this page: does it submit in another way, or is a call missing?",
+    "no_sql": "This mapper method has no statement: is it annotated, or is the statement missing?",
+}
+
+
+def verify_issues(issues: DataFrame, nodes: DataFrame, edges: DataFrame, ask: Callable[[str], str] | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """``issues`` with ``llm_verified, llm_confidence, llm_reasoning``; null for kinds without a question and for nodes that are not there.
+
+    A reviewer sees the node with its neighbours and the question of the issue.
+    """
+    near = lambda a, b, name: edges.groupBy(F.col(a).alias("node_id")).agg(F.array_join(F.slice(F.sort_array(F.collect_set(b)), 1, 100), ", ").alias(name))
+    asked = F.lit(None).cast("string")
+    for kind, text in QUESTIONS.items():
+        asked = F.when(F.col("issue") == kind, text).otherwise(asked)
+    known = nodes.select(F.col("id").alias("node_id"), F.coalesce("name", "id").alias("_name"))
+    rows = issues.withColumn("_q", asked).join(known, "node_id").where("_q is not null")
+    rows = rows.join(near("dst", "src", "_in"), "node_id", "left").join(near("src", "dst", "_out"), "node_id", "left")
+    about = F.concat(F.lit("Node: "), "_name", F.lit("\nPredecessors: "), F.coalesce("_in", F.lit("")), F.lit("\nSuccessors: "), F.coalesce("_out", F.lit("")))
+    rows = rows.select("issue", "node_id", F.col("node_id").alias("source"), F.col("_name").alias("target"), F.lit("COMPLETENESS_CHECK").alias("relation"), about.alias("source_code"), F.col("_q").alias("target_code"))
+    said = verify.verify(rows, ask, cache).select("issue", "node_id", F.col("match").alias("llm_verified"), F.col("confidence").alias("llm_confidence"), F.col("reasoning").alias("llm_reasoning"))
+    return issues.join(said.dropDuplicates(["issue", "node_id"]), ["issue", "node_id"], "left")
 
 
 def invalid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,3 +113,30 @@ def validate_records(counts: dict[str, int]) -> list[str]:
     if counts.get("services") and not counts.get("mappers"):
         out.append("services without mappers")
     return out
+
+
+#: Fields that a record of a kind must have.
+REQUIRED = {"jsp": ("file",), "controllers": ("class_name", "methods"), "services": ("class_name", "methods"), "mappers": ("xml.namespace", "xml.statements")}
+
+
+def missing_fields(records: dict[str, DataFrame]) -> DataFrame:
+    """``kind, source_file, field``: records (with ``source_file``) that lack a required field; a column that the table lacks is missing everywhere."""
+    out = None
+    for kind, fields in REQUIRED.items():
+        df = records.get(kind)
+        if df is None:
+            continue
+        for field in fields:
+            there = field.split(".")[0] in df.columns
+            bad = df.where(F.col(field).isNull()) if there else df
+            part = bad.select(F.lit(kind).alias("kind"), F.coalesce("source_file", F.lit("unknown")).alias("source_file"), F.lit(field).alias("field"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def validate_analyses(records: dict[str, DataFrame]) -> tuple[bool, list[str], DataFrame | None]:
+    """Whether loaded analyses are fit for a graph, the problems of their kinds, and the records that lack fields; warnings count as problems."""
+    counts = {kind: df.count() for kind, df in records.items()}
+    problems = validate_records(counts)
+    gaps = missing_fields(records) if any(counts.values()) else None
+    return not problems and (gaps is None or gaps.isEmpty()), problems, gaps

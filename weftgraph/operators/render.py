@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -49,13 +49,14 @@ def viz_edges(edges: DataFrame) -> DataFrame:
 
 
 def important_nodes(nodes: DataFrame, edges: DataFrame, limit: int = config.DIAGRAM_NODES, preferred: list[str] | None = None) -> DataFrame:
-    """``node, rank``: preferred types by degree, others (also by degree) for at most half the places that are left of ``limit``."""
-    d = nodes.join(metrics.degrees(nodes, edges).select(F.col("node").alias("id"), "degree"), "id")
-    mine = F.lit(True) if preferred is None else F.col("type").isin(preferred)
-    d = d.withColumn("first", mine)
-    top = d.where("first").orderBy(F.desc("degree"), "id").limit(limit).unionByName(d.where("not first").orderBy(F.desc("degree"), "id").limit(limit // 2))
-    order = Window.orderBy(F.desc("first"), F.desc("degree"), "id")  # at most 1.5 limit rows
-    return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("id").alias("node"), "rank")
+    """``node, rank``: the half of ``limit`` with the highest degree, whatever their type, then preferred types (all if None) by degree up to ``limit``; ties by id."""
+    d = nodes.join(metrics.degrees(nodes, edges).select(F.col("node").alias("id"), "degree"), "id").select("id", "type", "degree")
+    by_degree = (F.desc("degree"), F.asc("id"))
+    top = d.orderBy(*by_degree).limit(limit // 2).withColumn("first", F.lit(True))
+    mine = d if preferred is None else d.where(F.col("type").isin(preferred))
+    rest = mine.join(top.select("id"), "id", "left_anti").orderBy(*by_degree).limit(limit - limit // 2).withColumn("first", F.lit(False))
+    order = Window.orderBy(F.desc("first"), *by_degree)  # at most limit rows
+    return top.unionByName(rest).withColumn("rank", F.row_number().over(order)).select(F.col("id").alias("node"), "rank")
 
 
 def mermaid_lines(graph: Graph, limit: int = config.DIAGRAM_NODES, preferred: list[str] | None = None, fanout: int = config.DIAGRAM_FANOUT) -> DataFrame:
@@ -85,8 +86,50 @@ def dot_lines(graph: Graph) -> DataFrame:
 
 
 def write_dot(graph: Graph, path: str) -> None:
-    """DOT as a folder of text parts (any size of graph); join them between ``digraph {`` and ``}``."""
-    dot_lines(graph).write.mode("overwrite").text(path)
+    """One valid DOT file in the folder ``path``: its lines sorted from the opening to the closing brace and written by one task.
+
+    For graphs that a drawing tool can read; ``dot_lines`` is the distributed form.
+    """
+    spark = graph.nodes.sparkSession
+    ends = spark.createDataFrame([(0, "digraph dependencies {"), (2, "}")], "part int, line string")
+    body = dot_lines(graph).select(F.lit(1).alias("part"), F.concat(F.lit("  "), "line").alias("line"))
+    ends.unionByName(body).repartition(1).sortWithinPartitions("part", "line").select("line").write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A short text as a folder with one file, on any file system Spark writes to."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def chain_text(path: list[str], types: list[str | None]) -> str:
+    """A call chain as lines, each a step further in."""
+    return "\n".join(f"{'  ' * i}{'-> ' if i else ''}[{t or 'UNKNOWN'}] {n}" for i, (n, t) in enumerate(zip(path, types, strict=True)))
+
+
+def impact_text(node: str, rows: list[dict]) -> str:
+    """An impact analysis (rows of ``direction, level, nodes``) as text: both sides by level, totals and what follows from them."""
+    out, total = [f"Impact of {node}"], {}
+    for side, mark, says in (("upstream", "<-", "depend on it"), ("downstream", "->", "it depends on")):
+        own = sorted((r for r in rows if r["direction"] == side), key=lambda r: int(r["level"].removeprefix("level_")))
+        total[side] = sum(len(r["nodes"]) for r in own)
+        out.append(f"{side} ({total[side]} that {says})" if own else f"{side}: none")
+        for r in own:
+            out += [f"  {r['level']}:", *(f"    {mark} {n}" for n in r["nodes"])]
+    out.append(f"{sum(total.values())} in all")
+    if total["upstream"]:
+        out.append(f"test the {total['upstream']} upstream after a change")
+    if total["downstream"]:
+        out.append(f"review the {total['downstream']} downstream before one")
+    return "\n".join(out)
+
+
+def write_adjacency(graph: Graph, path: str) -> None:
+    """The graph by neighbours: ``nodes`` (name, type, dependencies, dependents), ``edges`` (from, to, type) and counts by type, as JSON tables."""
+    from .build import adjacency
+
+    adjacency(graph).write.mode("overwrite").json(f"{path}/nodes")
+    graph.edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("relation").alias("type")).write.mode("overwrite").json(f"{path}/edges")
+    graph.nodes.groupBy("type").agg(F.count("*").alias("n")).write.mode("overwrite").json(f"{path}/statistics")
 
 
 def html(graph: Graph, limit: int = 1000) -> str:

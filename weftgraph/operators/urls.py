@@ -34,20 +34,34 @@ def match(calls: DataFrame, endpoints: DataFrame, verified: DataFrame | None = N
     """``call_id, url, endpoint_id, confidence, method`` for every call.
 
     One candidate: 0.9 by pattern. None: no match. More: what ``verified``
-    (call_id, match, confidence) says, the best candidate (exact first, then
-    by endpoint_id) with its confidence or no match; without it no match.
+    (call_id, match, confidence and, optionally, failed) says, the best
+    candidate (exact first, then by endpoint_id) with its confidence or no
+    match; the best with 0.5 as ``fallback`` where the verifier failed; without
+    ``verified`` no match.
     """
     found = candidates(calls, endpoints)
     per = found.groupBy("call_id").agg(F.count("*").alias("k"), F.min(F.struct((~F.col("exact")).alias("loose"), "endpoint_id")).alias("best"))
     out = calls.select("call_id", "url").join(per, "call_id", "left")
     if verified is None:
-        out = out.withColumn("ok", F.lit(False)).withColumn("vconf", F.lit(0.0))
+        out = out.withColumn("ok", F.lit(False)).withColumn("vconf", F.lit(0.0)).withColumn("failed", F.lit(False))
     else:
-        out = out.join(verified.select("call_id", F.col("match").alias("ok"), F.coalesce("confidence", F.lit(0.7)).alias("vconf")), "call_id", "left").fillna(False, ["ok"])
+        failed = F.col("failed") if "failed" in verified.columns else F.lit(False)
+        said = verified.select("call_id", F.col("match").alias("ok"), F.coalesce("confidence", F.lit(0.7)).alias("vconf"), failed.alias("failed"))
+        out = out.join(said, "call_id", "left").fillna(False, ["ok", "failed"])
     one, many = F.col("k") == 1, F.col("k") > 1
+    fallback = many & F.col("failed")
     return out.select(
         "call_id", "url",
-        F.when(one | (many & F.col("ok")), F.col("best.endpoint_id")).alias("endpoint_id"),
-        F.when(one, F.lit(0.9)).when(many & F.col("ok"), F.col("vconf")).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(one, "pattern_match").when(many, "llm").otherwise("no_match").alias("method"),
+        F.when(one | fallback | (many & F.col("ok")), F.col("best.endpoint_id")).alias("endpoint_id"),
+        F.when(one, F.lit(0.9)).when(fallback, F.lit(0.5)).when(many & F.col("ok"), F.col("vconf")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(one, "pattern_match").when(fallback, "fallback").when(many, "llm").otherwise("no_match").alias("method"),
     )
+
+
+def candidates_text(found: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """``call_id, text``: the candidates of each call as numbered lines for a reviewer, exact ones first."""
+    e = endpoints.select("endpoint_id", F.array_join(F.coalesce("methods", F.array().cast("array<string>")), ", ").alias("methods"))
+    rows = found.join(e, "endpoint_id").select("call_id", F.struct((~F.col("exact")).alias("loose"), F.col("endpoint_id").cast("string").alias("endpoint"), "template", "methods").alias("c"))
+    listed = rows.groupBy("call_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    line = lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["endpoint"], F.lit(" at "), c["template"], F.when(c["methods"] != "", F.concat(F.lit(" for "), c["methods"])).otherwise(F.lit("")))
+    return listed.select("call_id", F.array_join(F.transform("cs", line), "\n").alias("text"))

@@ -1,4 +1,4 @@
-"""Queries on pages, documents, events and literal fixtures: URLs, SQL text, hashes, caches, limits, callers."""
+"""Queries on pages, documents, events and texts made from parts and suppliers: URLs, SQL text, hashes, caches, limits, callers."""
 
 from __future__ import annotations
 
@@ -11,18 +11,29 @@ from .registry import query
 
 #: Endpoint templates that the pages' URLs are matched with.
 TEMPLATES = [(1, "/{lang}/{id}", ["GET"]), (2, "/{lang}/*", ["POST"]), (3, "/**", ["PUT"]), (4, "/fr/{id}", ["GET"])]
-CALLS = [("SELECT a FROM app.users u JOIN orders o ON u.id = o.uid", ""), ("{CALL pkg.sync_user(#{id})}", ""), ("insert into Logs values (#{msg,jdbcType=VARCHAR}, ${t})", ""), ("update stock set n = n - #{n}", ""), ("select 1 from a, b x, c.d where RECALL = 1", ""), ("EXEC refresh_all", ""), ("delete from t", "CALLABLE")]
-JOBS = [("J1", "STORED_PROCEDURE", "SYNC_USER"), ("J2", "PLSQL_BLOCK", "BEGIN pkg.refresh_all(1); END;"), ("J3", "PLSQL_BLOCK", "call clean_up"), ("J4", "PLSQL_BLOCK", "null;")]
+#: Statements over the parts: seven forms with the part's key in their names. Spark and the oracle run the same text.
+STATEMENT_TEXTS = """
+SELECT p_partkey AS id, p_partkey % 7 AS form,
+  CASE p_partkey % 7 WHEN 0 THEN 'SELECT a FROM app.users' || p_partkey || ' u JOIN orders' || p_partkey || ' o ON u.id = o.uid /* ' || p_name || ' */'
+    WHEN 1 THEN '{{CALL pkg.sync_' || p_partkey || '(#{{id' || p_partkey || '}})}}'
+    WHEN 2 THEN 'insert into Logs' || p_partkey || ' values (#{{msg' || p_partkey || ',jdbcType=VARCHAR}}, ' || '$' || '{{t}})'
+    WHEN 3 THEN 'update stock' || p_partkey || ' set n = n - #{{n}}'
+    WHEN 4 THEN 'select 1 from a' || p_partkey || ', b x, c.d where RECALL = ' || p_partkey
+    WHEN 5 THEN 'EXEC refresh_' || p_partkey ELSE 'delete from t' || p_partkey END AS sql,
+  CASE WHEN p_partkey % 7 = 6 THEN 'CALLABLE' ELSE '' END AS kind
+FROM {part}
+"""
+JOB_TEXTS = """
+SELECT 'J' || s_suppkey AS job_name, s_suppkey % 4 AS form, CASE s_suppkey % 4 WHEN 0 THEN 'STORED_PROCEDURE' ELSE 'PLSQL_BLOCK' END AS job_type,
+  CASE s_suppkey % 4 WHEN 0 THEN 'SYNC_' || s_suppkey WHEN 1 THEN 'BEGIN pkg.refresh_' || s_suppkey || '(1); END;' WHEN 2 THEN 'call clean_' || s_suppkey ELSE 'null;' END AS job_action
+FROM {supplier}
+"""
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
 PATH_SQL = "regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', '')"
 
 
@@ -80,51 +91,62 @@ def page_titles(spark, sf):
     return _table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", markup.TITLE, 1)).alias("title"))
 
 
-@query("SELECT page_id, unnest(['standard', 'spring']) AS kind, unnest(['user.name', 'cfg[0]']) AS expression, unnest(['user,name', 'cfg']) AS variables FROM pages")
+@query("SELECT page_id, unnest(['standard', 'spring']) AS kind, unnest(['user' || page_id || '.name', 'cfg[' || page_id || ']']) AS expression, unnest(['user' || page_id || ',name', 'cfg']) AS variables FROM pages")
 def el_expressions(spark, sf):
-    page = F.lit("<p>${ user.name } #{cfg[0]}</p>")
+    """Every page with two expressions behind its own text."""
+    key = F.col("page_id").cast("string")
+    page = F.concat(F.col("html"), F.lit("<p>${ user"), key, F.lit(".name } #{cfg["), key, F.lit("]}</p>"))
     e = _table(spark, sf, "pages").select("page_id", F.explode(t.el_expressions(page)).alias("e"))
     return e.select("page_id", "e.kind", "e.expression", F.array_join("e.variables", ",").alias("variables"))
 
 
-@query("SELECT page_id, unnest(['jquery_short', 'fetch', 'xhr']) AS kind, unnest(['/a/' || page_id, '/b', '/c']) AS url, unnest(['GET', 'PUT', 'POST']) AS method FROM pages")
+@query("SELECT page_id, unnest(['jquery_ajax', 'jquery_short', 'fetch', 'xhr']) AS kind, unnest(['/d/' || page_id, '/a/' || page_id, '/b' || page_id, '/c']) AS url, unnest(['DELETE', 'GET', 'PUT', 'POST']) AS method FROM pages")
 def ajax_calls(spark, sf):
-    page = F.concat(F.lit('<script>$.get("/a/'), F.col("page_id").cast("string"), F.lit('"); fetch("/b", {method: "put"}); x.open("POST", "/c")</script>'))
-    return _table(spark, sf, "pages").select("page_id", F.explode(markup.ajax_calls(page)).alias("c")).select("page_id", "c.kind", "c.url", "c.method")
+    """Every page with four calls behind its own text."""
+    key = F.col("page_id").cast("string")
+    script = F.concat(F.lit('<script>$.get("/a/'), key, F.lit('"); fetch("/b'), key, F.lit('", {method: "put"}); x.open("POST", "/c"); $.ajax({type: "delete", url: \'/d/'), key, F.lit("'});</script>"))
+    return _table(spark, sf, "pages").select("page_id", F.explode(markup.ajax_calls(F.concat("html", script))).alias("c")).select("page_id", "c.kind", "c.url", "c.method")
 
 
-def _statements(spark) -> DataFrame:
-    return spark.createDataFrame([(i, s, k) for i, (s, k) in enumerate(CALLS)], "id int, sql string, kind string")
+def _statements(spark, sf) -> DataFrame:
+    return spark.sql(STATEMENT_TEXTS, part=_table(spark, sf, "part"))
 
 
-STATEMENTS = f"s AS (SELECT (row_number() OVER () - 1)::INT AS id, sql, kind FROM (VALUES {_values(CALLS)}) AS v(sql, kind))"
+STATEMENTS = f"s AS ({STATEMENT_TEXTS.format(part='part')})"
 
 
-@query("SELECT * FROM (VALUES (0, 'orders,users'), (1, ''), (2, 'Logs'), (3, 'stock'), (4, 'a,b,d'), (5, ''), (6, 't')) AS v(id, tables)")
+@query(f"WITH {STATEMENTS} SELECT id, CASE form WHEN 0 THEN 'orders' || id || ',users' || id WHEN 2 THEN 'Logs' || id WHEN 3 THEN 'stock' || id WHEN 4 THEN 'a' || id || ',b,d' WHEN 6 THEN 't' || id ELSE '' END AS tables FROM s")
 def sql_table_names(spark, sf):
-    return _statements(spark).select("id", F.array_join(t.sql_tables(F.col("sql")), ",").alias("tables"))
+    return _statements(spark, sf).select("id", F.array_join(t.sql_tables(F.col("sql")), ",").alias("tables"))
 
 
-@query(f"WITH {STATEMENTS} SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(sql, '#[{{]\\s*([^}},\\s]+)', 1), regexp_extract_all(sql, '[$][{{]\\s*([^}},\\s]+)', 1)))), ',') AS parameters FROM s")
+@query(f"WITH {STATEMENTS} SELECT id, CASE form WHEN 1 THEN 'id' || id WHEN 2 THEN 'msg' || id || ',t' WHEN 3 THEN 'n' ELSE '' END AS parameters FROM s")
 def sql_parameters(spark, sf):
-    return _statements(spark).select("id", F.array_join(t.sql_parameters(F.col("sql")), ",").alias("parameters"))
+    return _statements(spark, sf).select("id", F.array_join(t.sql_parameters(F.col("sql")), ",").alias("parameters"))
 
 
-@query(f"WITH {STATEMENTS} SELECT id, regexp_matches(sql, '(?i)(^|[^A-Za-z0-9_])(call\\s|exec(ute)?\\s)') OR kind = 'CALLABLE' AS is_callable, nullif(regexp_extract(sql, '(?i)(?:^|[^A-Za-z0-9_])(?:call|exec|execute)\\s+(?:[A-Za-z0-9_$]+[.])*([A-Za-z0-9_$]+)', 1), '') AS procedure_name FROM s")
+@query(f"WITH {STATEMENTS} SELECT id, form IN (1, 5, 6) AS is_callable, CASE form WHEN 1 THEN 'sync_' || id WHEN 5 THEN 'refresh_' || id END AS procedure_name FROM s")
 def callable_procedures(spark, sf):
-    return _statements(spark).select("id", t.is_callable(F.col("sql"), F.col("kind")).alias("is_callable"), t.procedure_name(F.col("sql")).alias("procedure_name"))
+    return _statements(spark, sf).select("id", t.is_callable(F.col("sql"), F.col("kind")).alias("is_callable"), t.procedure_name(F.col("sql")).alias("procedure_name"))
+
+
+def _jobs(spark, sf) -> DataFrame:
+    return spark.sql(JOB_TEXTS, supplier=_table(spark, sf, "supplier"))
 
 
-@query(f"SELECT job_name, CASE job_name WHEN 'J1' THEN 'SYNC_USER' WHEN 'J2' THEN 'PKG.REFRESH_ALL' WHEN 'J3' THEN 'CLEAN_UP' WHEN 'J4' THEN 'NULL' END AS calls_procedure FROM (VALUES {_values(JOBS)}) AS v(job_name, job_type, job_action)")
+@query(f"SELECT job_name, CASE form WHEN 0 THEN 'SYNC_' || substr(job_name, 2) WHEN 1 THEN 'PKG.REFRESH_' || substr(job_name, 2) WHEN 2 THEN 'CLEAN_' || substr(job_name, 2) ELSE 'NULL' END AS calls_procedure FROM ({JOB_TEXTS.format(supplier='supplier')}) AS j")
 def job_procedure_calls(spark, sf):
-    return spark.createDataFrame(JOBS, "job_name string, job_type string, job_action string").select("job_name", t.job_procedure(F.col("job_type"), F.col("job_action")).alias("calls_procedure"))
+    return _jobs(spark, sf).select("job_name", t.job_procedure(F.col("job_type"), F.col("job_action")).alias("calls_procedure"))
 
 
-@query("SELECT 'sync_user' AS procedure, 'statement:1' AS caller UNION ALL SELECT 'refresh_all', 'statement:5' UNION ALL SELECT 'sync_user', 'job:J1' UNION ALL SELECT 'refresh_all', 'job:J2'")
+@query(f"""WITH {STATEMENTS}, j AS ({JOB_TEXTS.format(supplier='supplier')}), p AS (SELECT 'sync_' || p_partkey AS name FROM part UNION ALL SELECT 'refresh_' || p_partkey FROM part UNION ALL SELECT 'never_' || p_partkey FROM part)
+SELECT name AS procedure, 'statement:' || id AS caller FROM p JOIN s ON form = 1 AND name = 'sync_' || id OR form = 5 AND name = 'refresh_' || id
+UNION ALL SELECT name, 'job:' || job_name FROM p JOIN j ON form = 0 AND name = 'sync_' || substr(job_name, 2) OR form = 1 AND name = 'refresh_' || substr(job_name, 2)""")
 def procedure_callers(spark, sf):
-    procs = spark.createDataFrame([("sync_user",), ("refresh_all",), ("never",)], "name string")
+    names = F.explode(F.array(*(F.concat(F.lit(x), F.col("p_partkey").cast("string")) for x in ("sync_", "refresh_", "never_")))).alias("name")
+    procs = _table(spark, sf, "part").select(names)
     s = callable_procedures(spark, sf).withColumn("namespace", F.lit("ns"))
-    j = spark.createDataFrame(JOBS, "job_name string, job_type string, job_action string").withColumns({"enabled": F.lit(True), "broken": F.lit(False)})
+    j = _jobs(spark, sf).withColumns({"enabled": F.lit(True), "broken": F.lit(False)})
     a = procedures.statement_callers(procs, s).select("procedure", F.concat(F.lit("statement:"), F.col("statement_id").cast("string")).alias("caller"))
     return a.unionByName(procedures.job_callers(procs, j).select("procedure", F.concat(F.lit("job:"), "job_name").alias("caller")))
 

@@ -48,7 +48,7 @@ def tables(d: dict[str, DataFrame]) -> DataFrame:
     fk = key_columns(d, "R").join(to, "r_constraint_name", "left").groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct(F.col("constraint_name").alias("name"), "columns", "references"))).alias("foreign_keys"))
     ix = d["user_indexes"].join(_listed(d["user_ind_columns"], "index_name", "cols", "column_position", F.col("column_name").alias("name"), (F.col("descend") == "DESC").alias("descending")), "index_name")
     ix = ix.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct(F.col("index_name").alias("name"), (F.col("uniqueness") == "UNIQUE").alias("unique"), F.col("cols.name").alias("columns")))).alias("indexes"))
-    tr = d["user_triggers"].groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct(F.col("trigger_name").alias("name"), "triggering_event", "status"))).alias("triggers"))
+    tr = d["user_triggers"].groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct(F.col("trigger_name").alias("name"), "triggering_event", "status", (F.col("description") if "description" in d["user_triggers"].columns else F.lit(None).cast("string")).alias("description")))).alias("triggers"))
     out = d["user_tables"].select("table_name")
     for part in (columns(d), pk, ix, fk, tr):
         out = out.join(part, "table_name", "left")
@@ -107,3 +107,43 @@ def summary(d: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def write_all(d: dict[str, DataFrame], folder: str) -> DataFrame:
+    """The six kinds as JSON tables under ``folder`` with their counts in ``summary``, which is returned."""
+    for kind, of in (("tables", tables), ("views", views), ("sequences", sequences), ("synonyms", synonyms), ("procedures", procedures), ("jobs", jobs)):
+        of(d).write.mode("overwrite").json(f"{folder}/{kind}")
+    counts = summary(d)
+    counts.write.mode("overwrite").json(f"{folder}/summary")
+    return counts
+
+
+def connections(text: str) -> dict[str, dict[str, str]]:
+    """Named connections of a configuration text: ``connections:``, then a name a level, then ``key: value`` lines; ``#`` starts a comment.
+
+    A password is named by ``password_env``; one that stands in the text is refused.
+    """
+    out: dict[str, dict[str, str]] = {}
+    inside, name, own = False, "", 0
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip() if not raw.lstrip().startswith("#") else ""
+        if not line.strip():
+            continue
+        depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
+        if depth == 0:
+            inside = key == "connections"
+        elif inside and not value.strip():
+            name, own = key, depth
+            out[name] = {}
+        elif inside and name and depth > own:
+            out[name][key] = value.strip().strip("\"'")
+    for name, c in out.items():
+        if "password" in c:
+            raise ValueError(f"connection {name}: put the password into the environment and name it in password_env")
+    return out
+
+
+def read_connection(spark: SparkSession, text: str, name: str) -> dict[str, DataFrame]:
+    """The dictionary of a named connection of the configuration ``text`` (url, user, password_env)."""
+    c = connections(text)[name]
+    return read_dictionary(spark, c["url"], c["user"], c.get("password_env", f"{name.upper()}_PASSWORD"))

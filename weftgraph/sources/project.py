@@ -49,14 +49,28 @@ def project_type(files: DataFrame) -> DataFrame:
     return files.agg(F.when(has("pom.xml"), "maven").when(has(*GRADLE_FILES), "gradle").otherwise("unknown").alias("project_type"))
 
 
+#: Folders by build system and role, the first that holds files or, where ``every``, all; generic java folders must hold .java files.
+FOLDERS: dict[str, tuple[tuple[str, tuple[str, ...], bool], ...]] = {
+    "maven": (("webapp", ("src/main/webapp",), False), ("java", ("src/main/java",), True), ("resource", ("src/main/resources",), True), ("test", ("src/test/java",), True)),
+    "gradle": (("webapp", ("src/main/webapp", "webapp"), False), ("java", ("src/main/java",), True), ("resource", ("src/main/resources",), True), ("test", ("src/test/java",), True)),
+    "unknown": (
+        ("webapp", ("webapp", "src/main/webapp", "web", "src/main/web", "WebContent", "src/main/WebContent", "public", "src/main/public"), False),
+        ("java", ("src/main/java", "src/java", "src", "java"), True), ("resource", ("src/main/resources", "src/resources", "resources"), True), ("test", ("src/test/java",), True),
+    ),
+}
+
+
 def directories(files: DataFrame) -> DataFrame:
-    """``role, dir``: webapp, java, resource and test folders that hold files, the first candidate of each role."""
-    dirs = files.select(F.regexp_replace("rel", "/[^/]*$", "").alias("d")).distinct()
-    cases = [("webapp", d) for d in ("src/main/webapp", *WEBAPP_CANDIDATES)] + [("java", "src/main/java"), ("java", "src"), ("resource", "src/main/resources"), ("test", "src/test/java")]
-    want = files.sparkSession.createDataFrame([(r, c, i) for i, (r, c) in enumerate(cases)], "role string, dir string, rank int")
+    """``role, dir``: webapp, java, resource and test folders that hold files, by the rules of the project's build system."""
+    dirs = files.select(F.regexp_replace("rel", "/[^/]*$", "").alias("d"), F.col("rel").endswith(".java").alias("java")).groupBy("d").agg(F.max("java").alias("java"))
+    cases = [(kind, role, d, i, every) for kind, rules in FOLDERS.items() for role, names, every in rules for i, d in enumerate(names)]
+    want = files.sparkSession.createDataFrame(cases, "project_type string, role string, dir string, rank int, every boolean")
+    want = want.join(F.broadcast(project_type(files)), "project_type")
     hit = dirs.join(F.broadcast(want), (F.col("d") == F.col("dir")) | F.col("d").startswith(F.concat("dir", F.lit("/"))))
-    hit = hit.select("role", "dir", "rank").distinct()
-    return hit.withColumn("k", F.row_number().over(Window.partitionBy("role").orderBy("rank"))).where("k = 1").select("role", "dir")
+    hit = hit.groupBy("role", "dir", "rank", "every", "project_type").agg(F.max("java").alias("java"))
+    hit = hit.where((F.col("role") != "java") | (F.col("project_type") != "unknown") | F.col("java"))
+    first = F.row_number().over(Window.partitionBy("role").orderBy("rank"))
+    return hit.withColumn("k", first).where("every or k = 1").select("role", "dir")
 
 
 def contains_java(files: DataFrame, folder: str, max_depth: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,50 @@ def analysis_summary(records: dict[str, DataFrame], nested: dict[str, str]) -> D
 def find_record(df: DataFrame, column: str, value: str) -> DataFrame:
     """The first record, by file, whose ``column`` is ``value``."""
     return df.where(F.col(column) == value).orderBy("source_file").limit(1)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_or_build(spark: SparkSession, folder: str, build: Callable[[], Graph], cache: str | None = None, hours: int = config.GRAPH_TTL_HOURS) -> tuple[Graph, str]:
+    """The graph and where it came from: ``dependency_graph.json`` in ``folder``, else a fresh snapshot in ``cache``, else ``build``, whose result is saved there."""
+    document, cache = f"{folder.rstrip('/')}/dependency_graph.json", cache or f"{folder.rstrip('/')}/.weftgraph"
+    if _exists(spark, document):
+        return read_graph_json(spark, document), "json"
+    if _exists(spark, f"{cache}/nodes") and (graph := load_graph(spark, cache, hours=hours)) is not None:
+        return graph, "cache"
+    save_graph(build(), cache)
+    return Graph(*(spark.read.parquet(f"{cache}/{k}").drop("saved_at") for k in ("nodes", "edges"))), "built"
+
+
+def latest_graph(spark: SparkSession, folder: str) -> Graph | None:
+    """The newest graph document in ``folder``, statistics and low-confidence files apart; None if there is none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.col("modificationTime").alias("mtime"))
+    found = latest(files).head()["path"]
+    return read_graph_json(spark, found) if found else None
+
+
+def read_optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame | None, list[str]]:
+    """One JSON document that may be missing, as a table of one row, and what is wrong with it."""
+    if not _exists(spark, path):
+        return None, []
+    got = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    got = materialize(got, "document")
+    return (None, [f"{path} is not JSON"]) if got.where("_corrupt is not null").count() else (got.drop("_corrupt"), [])
+
+
+def listing(records: DataFrame, **defaults: object) -> DataFrame:
+    """The named fields of each record, with ``defaults`` where a record or the whole table lacks them."""
+    return records.select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) if k in records.columns else F.lit(v).alias(k) for k, v in defaults.items()])
+
+
+def cache_write(spark: SparkSession, results: DataFrame, folder: str) -> None:
+    """Append analysis results (path, fingerprint, ..) with the time of caching."""
+    results.withColumn("cached_at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def cache_statistics(cache: DataFrame) -> DataFrame:
+    """One row: ``entries, files, oldest, newest`` of a result cache."""
+    return cache.agg(F.count("*").alias("entries"), F.countDistinct("path").alias("files"), F.min("cached_at").alias("oldest"), F.max("cached_at").alias("newest"))

@@ -55,9 +55,15 @@ def release(*frames: DataFrame) -> None:
             _MADE.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete every table that this process made in the session's shared folder; call it once results are read. Gives their number."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, set())
+def made(spark: SparkSession) -> set[str]:
+    """The tables of this session that are not deleted."""
+    return set(_MADE.get(spark.sparkContext.applicationId, ()))
+
+
+def clear(spark: SparkSession, keep: set[str] | None = None) -> int:
+    """Delete the tables that this process made in the session's shared folder, but for ``keep``; call it once results are read. Gives their number."""
+    paths = made(spark) - (keep or set())
+    _MADE.get(spark.sparkContext.applicationId, set()).difference_update(paths)
     for path in paths:
         fs, p = _file(spark, path)
         fs.delete(p, True)
