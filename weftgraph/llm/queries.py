@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_secret_scan": secrets.oracle(),
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,

@@ -462,3 +462,18 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every window by its hash, without anchors or suffixes; the removed runs; what lies between them. Texts as hexadecimal digits, two a byte.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT row, p, md5_number(substr(x, 2 * p + 1, 400)) AS h FROM (SELECT row, x, unnest(range(len(x) // 2 - 199)) AS p FROM d) AS t),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+k AS (SELECT row, p, coalesce(p > lag(p) OVER (PARTITION BY row ORDER BY p) + 200, true) AS fresh FROM w JOIN r USING (h)),
+s AS (SELECT row, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT row, p, sum(fresh::INT) OVER (PARTITION BY row ORDER BY p) AS g FROM k) AS t GROUP BY row, g),
+b AS (SELECT row, hi AS lo, lead(lo) OVER (PARTITION BY row ORDER BY lo) AS hi FROM s UNION ALL SELECT row, 0, min(lo) FROM s GROUP BY row),
+p AS (SELECT row, string_agg(substr(x, 2 * lo + 1, 2 * (coalesce(hi, len(x) // 2) - lo)), '' ORDER BY lo) AS left_over FROM b JOIN d USING (row) GROUP BY row),
+c AS (SELECT row, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY row)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, x))) AS kept_sha256
+FROM d LEFT JOIN p USING (row) LEFT JOIN c USING (row)
+"""
