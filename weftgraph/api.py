@@ -261,7 +261,7 @@ def main(argv: list[str] | None = None) -> None:
     before = storage.made(spark)
     try:
         out = run_command(spark, words)
-    except ValueError as e:
+    except (ValueError, argparse.ArgumentError) as e:
         sys.exit(f"weftgraph: {e}")
     print(out if isinstance(out, str) else json.dumps(out, indent=1, default=str))
     storage.clear(spark, before)

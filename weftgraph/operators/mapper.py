@@ -15,7 +15,6 @@ from ..functions import text as t
 # Statement tags in the order they are read, and tags of dynamic SQL.
 STATEMENT_TAGS = ("select", "insert", "update", "delete")
 DYNAMIC_TAGS = ("if", "choose", "when", "otherwise", "foreach", "where", "set", "trim", "bind")
-_KEYWORDS = {"where": "WHERE", "set": "SET"}
 
 STATEMENT = "struct<id: string, type: string, statement_type: string, result_type: string, result_map: string, parameter_type: string, sql: string, dynamic_sql: boolean, includes: array<string>>"
 RESULT_MAP = "struct<id: string, type: string, mappings: array<struct<column: string, property: string, java_type: string, is_id: boolean>>>"
