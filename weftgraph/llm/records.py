@@ -28,7 +28,7 @@ from .common import arrow_map, fresh_path, materialize, partitions_for, table, t
 #: Id appended to each document.
 END_ID = 2
 #: Estimated bytes of input storage for one output file; the estimate is low by about half, since text outweighs the other columns.
-SHARD_BYTES = 20_000_000
+SHARD_BYTES = 10_000_000
 #: Records of one file at most: a reader holds a whole file, and range partitions may be larger than planned.
 FILE_RECORDS = 20_000
 #: Distinct words whose ids a worker keeps, about.
