@@ -55,8 +55,10 @@ def impact_of_all(nodes: DataFrame, edges: DataFrame, weights: dict[str, int] =
     hop = materialize(hop.select("s", "d", "w"), "impact-edges")
     seen = frontier = hop.select(F.col("s").alias("o"), F.col("d").alias("n"), "w")
     while True:
-        step = frontier.join(hop.select("s", "d", F.col("w").alias("x")), F.col("n") == F.col("s")).where("o <> d").select("o", F.col("d").alias("n"), F.col("x").alias("w")).distinct()
-        frontier = materialize(step.join(seen.select("o", "n"), ["o", "n"], "left_anti"), "impact")
+        step = frontier.join(hop.select("s", "d", F.col("w").alias("x")), F.col("n") == F.col("s")).where("o <> d").select("o", F.col("d").alias("n"), F.col("x").alias("w"), F.lit(0).alias("old"))
+        # one aggregation in place of a distinct and an anti-join: pairs that no earlier round has
+        both = step.unionByName(seen.withColumn("old", F.lit(1)))
+        frontier = materialize(both.groupBy("o", "n").agg(F.max("w").alias("w"), F.max("old").alias("old")).where("old = 0").drop("old"), "impact")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -285,9 +285,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each keeps, of a node's
     neighbours, the least, and points the others at it, so the depth of the
     graph halves or better; neighbours are reduced by partial aggregation and
-    never gathered. The end is seen by the edges' count and checksum.
+    never gathered. The end is seen by the edges' count and checksum. Rounds
+    run on numbers in the order of the ids.
     """
-    links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    every = nodes.select("id").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("id"))).where("id is not null").distinct()
+    ids = materialize(every.orderBy("id").withColumn("k", F.monotonically_increasing_id()), "cc-ids")
+    links = edges.select("src", "dst").join(ids.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst")
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state, before = materialize(links, "cc"), None
     while True:
         mark = tuple(state.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).head())
@@ -304,6 +308,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         nxt = materialize(nxt, "cc")
         release(state, large)
         state = nxt
-    labels = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    ids = nodes.select(F.col("id").alias("node")).distinct()
-    return ids.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labels = state.join(ids.select(F.col("id").alias("component"), F.col("k").alias("v")), "v").select(F.col("u").alias("k"), "component")
+    own = ids.join(nodes.select("id").distinct(), "id", "left_semi")
+    return own.join(labels, "k", "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
