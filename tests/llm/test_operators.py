@@ -761,6 +761,13 @@ def test_leaks_against_brute_force(spark):
     assert {k: (r["n_hits"], -r["n_changed"]) for k, r in got.items()} == expected and sound <= set(got)
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    """A run is one slot whatever its length, and takes no stack."""
+    item = "Tom has 12 apples and the old farmer counts every wooden fence post near the river bank"
+    docs = {1: " ".join(["Alpha"] * 100_000) + ". so " + item, 2: ".".join(["7"] * 100_000) + " so " + item.replace("12", "13"), 3: ",".join(["7"] * 100_000) + " " + "Alpha  " * 100_000}
+    assert {k: r["n_changed"] for k, r in leaks(spark, docs, {1: item}).items()} == {(1, 1): 0, (2, 1): 1}
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(1, None), (None, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
     assert decontam.find_leaks(edge(spark), items).count() == 0

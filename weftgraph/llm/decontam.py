@@ -46,9 +46,9 @@ OPENERS = (
 ).split()
 SLOT = "\u0001"
 _NAME = r"(?!(?:" + "|".join(OPENERS) + r")(?!\p{L}))\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
-#: Capitalised words, a run of them as one name, wherever they stand.
-NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_NAME}(?:[ \t]{{1,2}}{_NAME})*"
-NUMBER = r"(?<![\p{L}\p{N}])\d+(?:[.,:/]\d+)*"
+#: Capitalised words, a run of them as one name, wherever they stand. Groups repeat possessively: Java runs that as a loop, but a greedy group calls itself once a repetition, which overflows the stack on long runs.
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_NAME}(?:[ \t]{{1,2}}{_NAME})*+"
+NUMBER = r"(?<![\p{L}\p{N}])\d+(?:[.,:/]\d+)*+"
 #: A unit right behind a number's mark, with or without a blank in the text.
 UNIT = rf"{SLOT}d {{1,2}}(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&$%@^~`_=+/\\-–—‘’“”…"
