@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as t
 from weftgraph.operators import build, java, mapper, markup, procedures, urls, verify
+from weftgraph.plans import extract_queries
 from weftgraph.plans.fixtures import FILES
 from weftgraph.sources import dictionary, project, snapshots
 from weftgraph.streaming import incremental, limiter
@@ -102,6 +103,31 @@ def test_normalize(spark, url, path):
     assert spark.range(1).select(t.normalize_url(F.lit(url))).head()[0] == path
 
 
+def test_match_looks_at_named_segments(spark):
+    """Endpoints of one length and method are not compared with every call; what matches is what the patterns say, odd signs included."""
+    many = spark.range(200)
+    c = many.select(F.col("id").alias("call_id"), F.format_string("/order%d/7", "id").alias("url"), F.lit("GET").alias("method"))
+    e = many.select(F.col("id").alias("endpoint_id"), F.format_string("/order%d/{id}", "id").alias("template"), F.array(F.lit("GET")).alias("methods"))
+    assert urls.compared(c, e).count() == 200 and urls.candidates(c, e).where("call_id = endpoint_id").count() == 200
+    templates = ["/a/{x}", "/a/*", "/*/b", "/{x}/b.c", "/a/b", "/a|/b", "/a+/b", "/(a)/b", "/[ab]/c", "/a/b$", "/a?/b", "/{x", "/a\\b", "/x\u0001/b", "/a/b\n", "a/b", ""]
+    paths = ["/a/b", "/aa/b", "/a/b.c", "/b/c", "/a/bxc", "/a", "/a/b\n", "/a/b\r\n", "/a/", "/xyz/b", "/a|/b", "/(a)/b", "/a|/zz"]
+    e = spark.createDataFrame(list(enumerate(templates)), "endpoint_id long, template string").withColumn("methods", F.array(F.lit("GET")))
+    c = spark.createDataFrame(list(enumerate(paths)), "call_id long, url string").withColumn("method", F.lit("GET"))
+    both = c.withColumn("path", t.normalize_url(F.col("url"))).crossJoin(e.withColumn("pattern", t.url_pattern(F.col("template")))).where(t.segments(F.col("path")) == t.segments(F.col("template")))
+    try:
+        want = {(r[0], r[1]) for r in both.where("path = template or path rlike pattern").select("call_id", "endpoint_id").collect()}
+    except Exception:  # a template that is no pattern fails either way
+        both, e = (x.where("endpoint_id <> 11") for x in (both, e))
+        want = {(r[0], r[1]) for r in both.where("path = template or path rlike pattern").select("call_id", "endpoint_id").collect()}
+    assert {(r["call_id"], r["endpoint_id"]) for r in urls.candidates(c, e).collect()} == want and len(want) > 20
+
+
+def test_modules_are_parsed_by_several_tasks(spark):
+    """A thousand keys are one small file, but their 8,000 source files are not one task's."""
+    got = extract_queries._files(spark, "/root/testdata/sf0.1", "controller")
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 1000
+
+
 def test_match(spark):
     e = spark.createDataFrame([(1, "/user/{id}", ["GET"]), (2, "/user/list", ["GET"]), (3, "/files/**", None), (4, "/a.b/*", ["POST"])], "endpoint_id int, template string, methods array<string>")
     c = spark.createDataFrame([(1, "/user/7", "get"), (2, "/user/list", "GET"), (3, "/files/x/y", "PUT"), (4, "/axb/c", "POST"), (5, "/a.b/c", "POST"), (6, "/user/7/x", "GET")], "call_id int, url string, method string")

@@ -1,20 +1,37 @@
-"""Matching called URLs with endpoints: a pattern join, held small by HTTP method and number of segments."""
+"""Matching called URLs with endpoints: a pattern join, held small by HTTP method, number of segments and the segments that a template names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Signs that a pattern reads as more than themselves, once ``*`` and ``{v}`` are gone.
+SPECIAL = r"[\\^$|?+()\[\]{}\u0001]"
+
+
+def _key(path: Column, places: Column) -> Column:
+    """The segments of ``path`` at ``places``. Line ends at its end do not count, as ``$`` stands before one, too."""
+    parts = F.split(F.regexp_replace(path, r"[\n\r\u0085\u2028\u2029]+\z", ""), "/")
+    return F.array_join(F.transform(places, lambda k: F.get(parts, k)), "/")
+
+
+def _places(template: Column) -> Column:
+    """Places of the segments that any URL of ``template`` has word for word; none if it holds other signs of a pattern."""
+    plain = ~F.regexp_replace(template, r"\*|[{][^}/]*[}]", "").rlike(SPECIAL)
+    fixed = F.transform(F.split(template, "/"), lambda x, k: F.when(~x.rlike("[*{]"), k))
+    return F.when(plain, F.filter(fixed, lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
 
-def candidates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """``call_id, url, endpoint_id, template, exact``.
+
+def compared(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """``call_id, url, path, endpoint_id, template, pattern``: the pairs that ``candidates`` looks at.
 
     ``calls``: call_id, url, method. ``endpoints``: endpoint_id, template,
     methods (array; null or empty: any). Templates without ``**`` join on their
-    number of segments, so a call meets only endpoints of its own length; the
-    few with ``**`` are joined by method alone.
+    number of segments and on those that they name: which these are is a shape,
+    of which templates have few, and a call has a key for each shape of its
+    length. The few with ``**`` are joined by method alone.
     """
     c = calls.select("call_id", text.normalize_url(F.col("url")).alias("path"), "url", F.upper("method").alias("method"))
     c = c.withColumn("n", text.segments(F.col("path")))
@@ -22,11 +39,17 @@ def candidates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     any_method = F.coalesce(F.size("methods"), F.lit(0)) <= 0
     e = e.withColumn("m", F.explode(F.when(any_method, F.array(F.lit("*"))).otherwise(F.transform("methods", lambda x: F.upper(x)))))
     c = c.withColumn("m", F.explode(F.array_distinct(F.array(F.lit("*"), F.coalesce("method", F.lit("*"))))))
-    narrow = c.join(e.where(~F.col("wide")).withColumn("n", text.segments(F.col("template"))), ["m", "n"])
+    short = e.where(~F.col("wide")).withColumn("n", text.segments(F.col("template"))).withColumn("places", _places(F.col("template"))).withColumn("key", _key(F.col("template"), F.col("places")))
+    keyed = c.join(short.select("m", "n", "places").distinct(), ["m", "n"]).withColumn("key", _key(F.col("path"), F.col("places")))
+    narrow = keyed.join(short, ["m", "n", "places", "key"])
     wide = c.join(e.where("wide"), "m")
     cols = ["call_id", "url", "path", "endpoint_id", "template", "pattern"]
-    both = narrow.select(*cols).unionByName(wide.select(*cols))
-    hit = both.where((F.col("path") == F.col("template")) | F.expr("path rlike pattern"))
+    return narrow.select(*cols).unionByName(wide.select(*cols))
+
+
+def candidates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """``call_id, url, endpoint_id, template, exact``: the pairs of ``compared`` that match."""
+    hit = compared(calls, endpoints).where((F.col("path") == F.col("template")) | F.expr("path rlike pattern"))
     return hit.select("call_id", "url", "endpoint_id", "template", (F.col("path") == F.col("template")).alias("exact")).distinct()
 
 

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 from ..operators import batch, build, java, mapper, markup
 from ..sources import project
-from ..storage import kept
+from ..storage import kept, materialize, release
 from .fixtures import FILES
 from .registry import query
 
 
+#: Modules whose files one task makes and parses: a table of keys is small and would be one partition.
+MODULES = 250
+
+
 def _files(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     """``path, rel, content`` of every module's files; ``order`` in any name becomes ``order`` with the key."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("rel"), F.lit(c).alias("content")) for n, c in FILES.items()))).alias("f")
-    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), each)
+    keys = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey")
+    rows = keys.repartition(-(-keys.count() // MODULES) or 1, "s_suppkey").select(F.col("s_suppkey").cast("string").alias("k"), each)
     keyed = lambda c: F.replace(F.replace(c, F.lit("Order"), F.concat(F.lit("Order"), "k")), F.lit("order"), F.concat(F.lit("order"), "k"))
     rel = F.concat(F.lit("m"), "k", F.lit("/"), keyed(F.col("f.rel")))
     rows = rows.select(rel.alias("path"), rel.alias("rel"), keyed(F.col("f.content")).alias("content"))
@@ -105,14 +110,15 @@ TRIGGERS = "SELECT 'T' || s_suppkey AS trigger_name, 'BEGIN sync_user_data(' ||
 JOBS = "SELECT 'J' || s_suppkey AS job_name, 'STORED_PROCEDURE' AS job_type, 'SYNC_USER_DATA' AS job_action, s_suppkey % 2 = 0 AS enabled, false AS broken FROM {supplier}"
 
 
-def _built(spark: SparkSession, sf: str):
+def _built(spark: SparkSession, sf: str, parsed: list[DataFrame]):
+    """The graph of all modules; the records it reads again and again are written first and added to ``parsed``."""
     sup = spark.read.parquet(f"{sf}/supplier.parquet")
     tables = sup.select(F.concat(F.lit("ORDER"), F.col("s_suppkey").cast("string"), F.lit("S")).alias("name")).unionByName(spark.createDataFrame([("USERS",)], "name string"))
     procs = spark.createDataFrame([("SYNC_USER_DATA",)], "name string")
     files = _files(spark, sf)
-    classes = java.extract_classes(_files(spark, sf, "controller", "service", "mapper"))
-    pages = markup.extract_pages(_files(spark, sf, "jsp"), files)
-    maps = mapper.extract_mappers(_files(spark, sf, "mapper_xml"))
+    parsed.append(classes := materialize(java.extract_classes(_files(spark, sf, "controller", "service", "mapper")), "built-classes"))
+    parsed.append(pages := materialize(markup.extract_pages(_files(spark, sf, "jsp"), files), "built-pages"))
+    parsed.append(maps := materialize(mapper.extract_mappers(_files(spark, sf, "mapper_xml")), "built-mappers"))
     return build.build_graph(pages, classes, maps, tables, spark.createDataFrame([("V",)], "name string"), procs, False, spark.sql(TRIGGERS, supplier=sup), spark.sql(JOBS, supplier=sup))
 
 
@@ -120,7 +126,10 @@ EDGES = _values("src_type, dst_type, relation, k", ("JSP", "JSP", "INCLUDES", 1)
 
 
 def _built_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(spark, "built-edges", [f"{sf}/supplier.parquet"], lambda: _built(spark, sf).edges)
+    parsed: list[DataFrame] = []
+    out = kept(spark, "built-edges", [f"{sf}/supplier.parquet"], lambda: _built(spark, sf, parsed).edges)
+    release(*parsed)
+    return out
 
 
 @query(_summed(EDGES, "src_type, dst_type, relation", n="sum(k)::BIGINT"))
