@@ -75,6 +75,33 @@ def test_long_simple_paths(spark):
     assert traverse.simple_paths(g.edges, origin, 0).count() == 0
 
 
+def test_impact_by_arrays_and_by_pairs(spark):
+    """Nodes above a cycle, or that may reach too much, go by pairs; the others write no pairs, in one step or several."""
+    rng = random.Random(3)
+    n = 60
+    pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(110)) if a < b} | {(50, 40), (5, 5)}
+    kind = {k: ["TABLE", "JSP", "SQL", "SERVICE"][k % 4] for k in range(n)}
+    reach = {}
+    for k in range(n):
+        todo, got = [k], set()
+        while todo:
+            x = todo.pop()
+            todo += [new for a, new in pairs if a == x and new not in got]
+            got |= {b for a, b in pairs if a == x}
+        reach[k] = got - {k}
+    weight = {"TABLE": 5, "JSP": 2, "SQL": 3}
+    want = {k: (len(v), sum(weight.get(kind[x], 1) for x in v)) for k, v in reach.items()}
+    nodes = spark.createDataFrame([(str(k), kind[k], str(k)) for k in range(n)], "id string, type string, name string")
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+    for most, step in ((1000, 10**6), (1000, 20), (6, 10**6), (0, 10**6)):
+        got = {int(r["origin"]): (r["affected"], round(r["score"] * r["affected"] / 20)) for r in metrics.impact_of_all(nodes, edges, weight, most=most, step=step).collect()}
+        assert got == want
+    ids = nodes.select(F.col("id").cast("long").alias("k"), F.lit(1).cast("long").alias("w"))
+    down = edges.where("cast(src as int) < cast(dst as int)").select(F.col("src").cast("long").alias("s"), F.col("dst").cast("long").alias("d"), F.lit(1).cast("long").alias("w"))
+    arrays, left = metrics.reached_by_arrays(ids, down, [1], 1000, 10**6)
+    assert left.isEmpty() and sum(x.count() for x in arrays) == n
+
+
 def test_impact_of_all_and_samples(spark):
     g = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("d", "c")], {"a": "JSP", "b": "SERVICE"})
     one = metrics.impact_scores(traverse.bfs_levels(g.edges, g.nodes).where("level > 0").select("origin", "node"), g.nodes, g.nodes)

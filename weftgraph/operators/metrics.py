@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..storage import materialize
+from ..storage import materialize, release
 from . import traverse
 
 
@@ -40,31 +42,75 @@ def impact_scores(reached: DataFrame, nodes: DataFrame, origins: DataFrame, weig
     return out.select("origin", F.coalesce("affected", F.lit(0).cast("long")).alias("affected"), F.round(raw, 2).alias("score"), severity(raw).alias("severity"))
 
 
-def impact_of_all(nodes: DataFrame, edges: DataFrame, weights: dict[str, int] = config.TYPE_WEIGHTS, direction: str = "down") -> DataFrame:
+#: Reached nodes of one origin that are held as one array; origins that may reach more, or reach a cycle, go by pairs.
+MOST_REACHED = 100_000
+#: Members of arrays that one step puts together, so that its shuffle is bounded.
+STEP_MEMBERS = 100_000_000
+
+
+def reached_by_arrays(ids: DataFrame, hop: DataFrame, kinds: list[int], most: int, step: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables ``k, affected, w, r`` of the nodes that reach at most about ``most`` nodes and no cycle, and ``s, d, w`` of the edges from all others.
+
+    Nodes are done from the sinks up: once all that a node points to is done,
+    what it reaches is the union of their arrays and themselves, so each edge
+    is used once. A member is a node's number times the number of weights
+    (``kinds``), plus its weight's place; nodes that nothing points to get no
+    array, since nobody asks for it.
+    """
+    weight = F.array(*[F.lit(x).cast("long") for x in kinds])
+    code = F.col("d") * len(kinds) + F.array_position(weight, F.col("w")) - 1
+    asked = materialize(hop.select(F.col("d").alias("k")).distinct(), "impact-asked")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    sinks = ids.join(hop.select(F.col("s").alias("k")).distinct(), "k", "left_anti")
+    done = [materialize(sinks.select("k", zero.alias("affected"), zero.alias("w"), none.alias("r")), "impact-reached")]
+    left = hop
+    while True:
+        sizes = reduce(DataFrame.unionByName, [x.select(F.col("k").alias("d"), "affected") for x in done])
+        known = left.join(sizes, "d", "left").groupBy("s").agg(F.count("affected").alias("n"), F.count("*").alias("of"), F.sum(F.col("affected") + 1).alias("members"))
+        ready = materialize(known.where((F.col("n") == F.col("of")) & (F.col("members") <= most)).select("s", "members"), "impact-ready")
+        members = ready.agg(F.sum("members")).head()[0]
+        if members is None:
+            release(ready, asked)
+            return done, left
+        parts = -(-members // step)
+        reached = reduce(DataFrame.unionByName, [x.where("r is not null").select(F.col("k").alias("d"), "r") for x in done])
+        for part in range(parts):
+            now = left.join(ready.where(F.pmod(F.xxhash64("s"), F.lit(parts)) == part).select("s"), "s", "left_semi")
+            each = now.join(reached, "d").select("s", F.concat(F.array(code), "r").alias("r"))
+            whole = each.groupBy(F.col("s").alias("k")).agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("r"))
+            counted = whole.select("k", F.size("r").cast("long").alias("affected"), F.aggregate("r", zero, lambda n, x: n + F.get(weight, F.pmod(x, F.lit(len(kinds))).cast("int"))).alias("w"), "r")
+            kept = counted.join(asked.withColumn("asked", F.lit(True)), "k", "left").withColumn("r", F.when(F.col("asked"), F.col("r"))).drop("asked")
+            done.append(materialize(kept, "impact-reached"))
+        after = materialize(left.join(ready.select("s"), "s", "left_anti"), "impact-left")
+        release(ready, left)
+        left = after
+
+
+def impact_of_all(nodes: DataFrame, edges: DataFrame, weights: dict[str, int] = config.TYPE_WEIGHTS, direction: str = "down", most: int = MOST_REACHED, step: int = STEP_MEMBERS) -> DataFrame:
     """``impact_scores`` of every node over everything that it reaches.
 
-    Nodes are numbered, so the reached pairs, the state of the rounds, are
-    pairs of longs; their number is the graph's reachability, linear in the
-    nodes where each reaches a bounded neighbourhood. For a few origins use
-    ``traverse.bfs_levels`` and ``impact_scores``.
+    Nodes are numbered. What a node reaches is an array where it is bounded and
+    without cycles (``reached_by_arrays``); the other origins, those above a
+    cycle or over ``most``, go by rounds over pairs of longs. For a few origins
+    use ``traverse.bfs_levels`` and ``impact_scores``.
     """
     ids = materialize(nodes.select("id", "type").dropDuplicates(["id"]).select("id", type_weight(F.col("type"), weights).cast("long").alias("w"), F.monotonically_increasing_id().alias("k")), "impact-ids")
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     hop = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a <> _b").distinct()
     hop = hop.join(ids.select(F.col("id").alias("_a"), F.col("k").alias("s")), "_a").join(ids.select(F.col("id").alias("_b"), F.col("k").alias("d"), "w"), "_b")
     hop = materialize(hop.select("s", "d", "w"), "impact-edges")
-    seen = frontier = hop.select(F.col("s").alias("o"), F.col("d").alias("n"), "w")
-    while True:
-        step = frontier.join(hop.select("s", "d", F.col("w").alias("x")), F.col("n") == F.col("s")).where("o <> d").select("o", F.col("d").alias("n"), F.col("x").alias("w"), F.lit(0).alias("old"))
+    arrays, left = reached_by_arrays(ids, hop.select("s", "d", "w"), sorted({1, *weights.values()}), most, step)
+    per = reduce(DataFrame.unionByName, [x.select("k", "affected", "w") for x in arrays])
+    seen = frontier = left.select(F.col("s").alias("o"), F.col("d").alias("n"), "w")
+    while not frontier.isEmpty():
+        ahead = frontier.join(hop.select("s", "d", F.col("w").alias("x")), F.col("n") == F.col("s")).where("o <> d").select("o", F.col("d").alias("n"), F.col("x").alias("w"), F.lit(0).alias("old"))
         # one aggregation in place of a distinct and an anti-join: pairs that no earlier round has
-        both = step.unionByName(seen.withColumn("old", F.lit(1)))
+        both = ahead.unionByName(seen.withColumn("old", F.lit(1)))
         frontier = materialize(both.groupBy("o", "n").agg(F.max("w").alias("w"), F.max("old").alias("old")).where("old = 0").drop("old"), "impact")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
-    per = seen.groupBy(F.col("o").alias("k")).agg(F.count("*").alias("affected"), F.sum("w").alias("w"))
+    per = per.unionByName(seen.groupBy(F.col("o").alias("k")).agg(F.count("*").alias("affected"), F.sum("w").alias("w")))
     out = ids.select("id", "k").join(per, "k", "left")
-    raw = F.coalesce(F.col("w") / (F.col("affected") * 5) * 100, F.lit(0.0))
+    raw = F.coalesce(F.col("w") / F.nullif(F.col("affected") * 5, F.lit(0)) * 100, F.lit(0.0))
     return out.select(F.col("id").alias("origin"), F.coalesce("affected", F.lit(0).cast("long")).alias("affected"), F.round(raw, 2).alias("score"), severity(raw).alias("severity"))
 
 
